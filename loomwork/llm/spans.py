@@ -143,7 +143,7 @@ def factor(a: str, at_a: int, b: str, at_b: int, gram: int) -> tuple[int, int]:
 
 
 class Spans:
-    """The shared spans of one table of documents. ``folder`` work: anchors are written once and read twice."""
+    """The shared spans of one table of documents. Anchors are cheap to find and bulky to store, so both reads compute them."""
 
     def __init__(self, docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM):
         self.length, self.gram = length, gram
@@ -151,7 +151,7 @@ class Spans:
         base = base.select("doc", F.xxhash64("text").alias("t"), F.length("text").alias("n"), "text").filter(F.col("n") >= length)
         self.members = base.select("doc", "t", "n").distinct()
         copies = self.members.groupBy("t", "n").agg(F.min("doc").alias("rep"))
-        found = cut(anchors(base.select("t", "n", "text"), length, gram))
+        found = anchors(base.select("t", "n", "text"), length, gram)
         salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
         shared = found.groupBy("h").agg(F.min("t").alias("lo"), F.max("t").alias("hi")).filter("lo <> hi").select("h", salts.alias("salt"))
         kept = found.withColumn("salt", F.pmod("t", F.lit(SALTS)).cast("int")).join(shared, ["h", "salt"], "left_semi").select("h", "t", "n", "pos").distinct()
