@@ -2,11 +2,19 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomwork.llm import leakage, lines, mixing, products, refine, spans
+from loomwork.llm import leakage, lines, mixing, products, refine, residue, spans
 from loomwork.plans.lineage import cut
 from loomwork.sources import table
 
 
+def _page_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return (
+        table(spark, sf_dir, "scraped_content", "content_id", "content"),
+        table(spark, sf_dir, "broker_results", "result_id", "full_text"),
+        table(spark, sf_dir, "page_data", "page_id", "title", "url"),
+    )
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return products.found(table(spark, sf_dir, "listing_items", "item_id", "title", "brand", "features"))
 
@@ -15,6 +23,14 @@ def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return products.groups(table(spark, sf_dir, "listing_items", "item_id", "title", "brand", "features"))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residue.found(*_page_tables(spark, sf_dir))
+
+
+def p5_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residue.residue(residue.sources(*_page_tables(spark, sf_dir)))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return refine.copies({n: table(spark, sf_dir, n) for n in refine.FIELDS})
 
@@ -61,7 +77,7 @@ def p10_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.Spans(table(spark, sf_dir, "documents", "doc_id", "text")).coverage()
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_groups, p6_found, p6_collapsed, p7_found, p7_pages, p8_found, p8_leaks, p9_found, p9_shares, p9_selected, p10_found, p10_shared)}
+QUERIES = {f.__name__: f for f in (p4_found, p4_groups, p5_found, p5_reasons, p6_found, p6_collapsed, p7_found, p7_pages, p8_found, p8_leaks, p9_found, p9_shares, p9_selected, p10_found, p10_shared)}
 
 _FOLD = "regexp_replace(lower({0}), '[^\\p{{L}}\\p{{N}}\\p{{M}}]+', '', 'g')"
 
