@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomwork.llm import leakage, lines, mixing, products, refine, residue, spans
+from loomwork.llm import boilerplate, leakage, lines, mixing, products, refine, residue, spans
 from loomwork.plans.lineage import cut
 from loomwork.sources import table
 
@@ -15,6 +15,18 @@ def _page_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
     )
 
 
+def _texts(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    return {name: table(spark, sf_dir, name, rec, text, "title") for name, (rec, text) in boilerplate.SOURCES.items()}
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return boilerplate.found(_texts(spark, sf_dir))
+
+
+def p3_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return boilerplate.main_bodies(_texts(spark, sf_dir))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return products.found(table(spark, sf_dir, "listing_items", "item_id", "title", "brand", "features"))
 
@@ -77,7 +89,7 @@ def p10_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.Spans(table(spark, sf_dir, "documents", "doc_id", "text")).coverage()
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_groups, p5_found, p5_reasons, p6_found, p6_collapsed, p7_found, p7_pages, p8_found, p8_leaks, p9_found, p9_shares, p9_selected, p10_found, p10_shared)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_pages, p4_found, p4_groups, p5_found, p5_reasons, p6_found, p6_collapsed, p7_found, p7_pages, p8_found, p8_leaks, p9_found, p9_shares, p9_selected, p10_found, p10_shared)}
 
 _FOLD = "regexp_replace(lower({0}), '[^\\p{{L}}\\p{{N}}\\p{{M}}]+', '', 'g')"
 
