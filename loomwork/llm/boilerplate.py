@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.llm.residue import is_filler, is_message
+from loomwork.llm.residue import is_filler, is_message, words_of
 
 MAX_PAGES = 1500
 SEED = 11
@@ -233,7 +233,7 @@ def is_case(text: str) -> bool:
     if len(text) > 2000:
         return True
     lines = [x for x in text.split("\n") if x.strip()]
-    return not all(is_message(x) or is_filler(x) for x in lines[:7]) or len(lines) > 6
+    return len(lines) > 6 or not all(is_message(x) or is_filler(x) or words_of(x) == "object object" for x in lines)
 
 
 SOURCES = {"page_data": ("page_id", "main_content"), "scraped_content": ("content_id", "content"), "broker_results": ("result_id", "full_text")}
