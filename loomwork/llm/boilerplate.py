@@ -9,8 +9,8 @@ marginals say for each line how likely it lies in the body. All pages of a batch
 A line's form is what it looks like by itself (``form_of``): prose, list item, headline, short label, bar of links,
 and the standing phrases of notices, prompts, bylines, legal lines and footers in four languages.
 
-The potentials are trained on labelled pages: the lines of a bounded sample of pages (``max_pages``, the pages of
-least seeded hash) whose form settles their zone are the labels, the other lines count with their expected zones; the
+The potentials are trained on labelled pages: the lines of a bounded sample of pages (``max_pages``, chosen by a
+seeded hash) whose form settles their zone are the labels, the other lines count with their expected zones; the
 sample is the only thing that reaches the driver. Prior counts keep rare transitions possible.
 
 Lines are split at '\\n' and numbered from 1; blank lines are numbered but never reported. Null and blank texts and
@@ -251,8 +251,10 @@ def _pages(tables: dict[str, DataFrame]) -> DataFrame:
 
 
 def fit(pages: DataFrame, max_pages: int = 1500) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The model trained on at most ``max_pages`` pages, those of least seeded hash."""
-    sample = pages.select(F.xxhash64("src_table", "rec_id", F.lit(SEED)).alias("h"), "text", "title").filter(f"length(text) < {20_000}").orderBy("h").limit(max_pages)
+    """The model trained on about ``max_pages`` pages (twice as many at most), chosen by a seeded hash."""
+    n = max(1, pages.count())
+    h = F.shiftrightunsigned(F.xxhash64("src_table", "rec_id", F.lit(SEED)), 1)
+    sample = pages.filter(h < F.lit(int(min(1.0, max_pages / n) * (2**63 - 1)))).filter(f"length(text) < {20_000}").limit(2 * max_pages)
     known = Forms()
     return train([observed(r.text, r.title, known)[1] for r in sample.select("text", "title").collect() if is_case(r.text)])
 
