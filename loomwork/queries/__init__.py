@@ -1,6 +1,6 @@
 """Named queries over the test tables and their SQL, one module per family."""
 
-from loomwork.queries import data
+from loomwork.queries import data, scalars
 
-QUERIES = {**data.QUERIES}
-ORACLES = {**data.ORACLES}
+QUERIES = {**data.QUERIES, **scalars.QUERIES}
+ORACLES = {**data.ORACLES, **scalars.ORACLES}
