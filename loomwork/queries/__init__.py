@@ -1,6 +1,6 @@
 """Named queries over the test tables and their SQL, one module per family."""
 
-from loomwork.queries import data, scalars
+from loomwork.queries import data, scalars, tables
 
-QUERIES = {**data.QUERIES, **scalars.QUERIES}
-ORACLES = {**data.ORACLES, **scalars.ORACLES}
+QUERIES = {**data.QUERIES, **scalars.QUERIES, **tables.QUERIES}
+ORACLES = {**data.ORACLES, **scalars.ORACLES, **tables.ORACLES}
