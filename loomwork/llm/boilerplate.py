@@ -254,7 +254,7 @@ def fit(pages: DataFrame, max_pages: int = 1500) -> tuple[np.ndarray, np.ndarray
     """The model trained on about ``max_pages`` pages (twice as many at most), chosen by a seeded hash."""
     n = max(1, pages.count())
     h = F.shiftrightunsigned(F.xxhash64("src_table", "rec_id", F.lit(SEED)), 1)
-    sample = pages.filter(h < F.lit(int(min(1.0, max_pages / n) * (2**63 - 1)))).filter(f"length(text) < {20_000}").limit(2 * max_pages)
+    sample = pages.filter(h < F.lit(min(2**63 - 1, int(max_pages / n * 2**63)))).filter(f"length(text) < {20_000}").limit(2 * max_pages)
     known = Forms()
     return train([observed(r.text, r.title, known)[1] for r in sample.select("text", "title").collect() if is_case(r.text)])
 

@@ -27,7 +27,7 @@ LETTERS = "etaoinsr"
 
 def fold(c: Column) -> Column:
     """The letters and digits of a text in one letter case ('ß' becomes 'ss')."""
-    return F.regexp_replace(F.lower(F.upper(c)), r"[^\p{L}\p{N}\p{M}]+", "")
+    return F.regexp_replace(F.replace(F.lower(c), F.lit("ß"), F.lit("ss")), r"[^\p{L}\p{N}\p{M}]+", "")
 
 
 def fold_address(c: Column) -> Column:
