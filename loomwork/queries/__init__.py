@@ -1,6 +1,6 @@
 """Named queries over the test tables and their SQL, one module per family."""
 
-from loomwork.queries import data, scalars, tables
+from loomwork.queries import data, more, pages, scalars, tables
 
-QUERIES = {**data.QUERIES, **scalars.QUERIES, **tables.QUERIES}
-ORACLES = {**data.ORACLES, **scalars.ORACLES, **tables.ORACLES}
+QUERIES = {**data.QUERIES, **scalars.QUERIES, **tables.QUERIES, **pages.QUERIES, **more.QUERIES}
+ORACLES = {**data.ORACLES, **scalars.ORACLES, **tables.ORACLES, **pages.ORACLES, **more.ORACLES}
