@@ -52,10 +52,10 @@ def spend(tokens: float, last: float | None, now: float, rate: float, size: floa
     return (True, filled - 1) if filled >= 1 else (False, filled)
 
 
-def token_bucket(df: DataFrame, key: str, event_id: str, ts: str, rate: float, size: float, idle_ms: int = 3_600_000) -> DataFrame:
+def token_bucket(df: DataFrame, key: str, event_id: str, ts: str, rate: float, size: float, idle_ms: int | None = None) -> DataFrame:
     """Each request of a key allowed or refused by a bucket of ``size`` tokens refilled at ``rate`` a second.
 
-    A stream keeps (tokens, last time) per key and forgets a key that is idle; a batch replays each key in time order.
+    A stream keeps (tokens, last time) per key and, with ``idle_ms``, forgets a key that is idle as long; a batch replays each key in time order.
     """
     source = df.select(F.col(key).cast("string").alias("key"), F.col(event_id).cast("bigint").alias("event_id"), F.unix_micros(F.col(ts).cast("timestamp")).alias("us"))
 
@@ -75,10 +75,11 @@ def token_bucket(df: DataFrame, key: str, event_id: str, ts: str, rate: float, s
             tokens, last = state.get if state.exists else (size, None)
             rows, tokens, last = replay(pd.concat(list(parts)), tokens, last)
             state.update((tokens, last))
-            state.setTimeoutDuration(idle_ms)
+            if idle_ms:
+                state.setTimeoutDuration(idle_ms)
             yield rows
 
-        return source.groupBy("key").applyInPandasWithState(step, BUCKET, "tokens double, last double", "append", GroupStateTimeout.ProcessingTimeTimeout)
+        return source.groupBy("key").applyInPandasWithState(step, BUCKET, "tokens double, last double", "append", GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout)
 
     def whole(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         # Partitions are sorted by key and time, so a key of any size passes through batch by batch.
