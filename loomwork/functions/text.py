@@ -10,6 +10,15 @@ POSITIVE = "good great excellent best love happy bright sunny generous careful m
 NEGATIVE = "bad poor worst hate sad broken worn cramped noisy damp dusty hollow rejected cancelled failed delayed crooked".split()
 
 
+def let(value: Column, f) -> Column:
+    """f(value) with ``value`` computed once however often f uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def _parts(c: Column) -> Column:
+    return F.struct(c.alias("c"), words(c).alias("w"), sentences(c).alias("s"))
+
+
 def clean_whitespace(c: Column) -> Column:
     """Runs of white space as one blank, none at the ends."""
     return F.trim(F.regexp_replace(c, BLANKS, " "))
@@ -69,28 +78,44 @@ def syllables(word: Column) -> Column:
     return F.greatest(F.lit(1), groups - F.when(word.rlike("[^aeiouy]e$"), 1).otherwise(0))
 
 
+def _sum(xs: Column) -> Column:
+    return F.aggregate(xs, F.lit(0), lambda a, x: a + x)
+
+
 def text_stats(c: Column) -> Column:
     """STRUCT of counts and averages."""
-    w, s = words(c), sentences(c)
-    n, k = F.size(w), F.size(s)
-    letters = F.aggregate(F.transform(w, F.length), F.lit(0), lambda a, x: a + x)
-    return F.struct(
-        n.alias("n_words"), F.size(F.array_distinct(w)).alias("n_unique"), k.alias("n_sentences"),
-        F.when(n > 0, letters / n).alias("avg_word_length"), F.when(k > 0, n / k).alias("avg_sentence_length"))
+
+    def stats(x: Column) -> Column:
+        n, k = F.size(x["w"]), F.size(x["s"])
+        return F.struct(
+            n.alias("n_words"), F.size(F.array_distinct(x["w"])).alias("n_unique"), k.alias("n_sentences"),
+            F.when(n > 0, _sum(F.transform(x["w"], F.length)) / n).alias("avg_word_length"), F.when(k > 0, n / k).alias("avg_sentence_length"))
+
+    return let(_parts(c), stats)
+
+
+def _syllables_of(w: Column) -> Column:
+    """Sum of ``syllables`` over words in three passes over their concatenation: vowel groups, less silent e's, plus
+    one for each word that would be left without any."""
+    joined = F.concat(F.lit(" "), F.array_join(w, " "), F.lit(" "))
+    return F.regexp_count(joined, F.lit("[aeiouy]+")) - F.regexp_count(joined, F.lit("[^aeiouy ]e(?= )")) + F.regexp_count(joined, F.lit("(?<= )[^aeiouy ]+e?(?= )"))
+
+
+def _flesch(x: Column) -> Column:
+    n, k = F.size(x["w"]), F.greatest(F.lit(1), F.size(x["s"]))
+    return F.when(n > 0, F.lit(206.835) - F.lit(1.015) * n / k - F.lit(84.6) * _syllables_of(x["w"]) / n)
 
 
 def flesch(c: Column) -> Column:
     """206.835 - 1.015 words per sentence - 84.6 syllables per word; null for a text without words."""
-    w, s = words(c), F.greatest(F.lit(1), F.size(sentences(c)))
-    total = F.aggregate(F.transform(w, syllables), F.lit(0), lambda a, x: a + x)
-    return F.when(F.size(w) > 0, F.lit(206.835) - F.lit(1.015) * F.size(w) / s - F.lit(84.6) * total / F.size(w))
+    return let(_parts(c), _flesch)
 
 
 def sentiment(c: Column) -> Column:
     """'positive' or 'negative' by a margin of more than two lexicon words, else 'neutral'; short texts are neutral."""
-    w = words(c)
-    margin = F.size(F.filter(w, lambda x: x.isin(POSITIVE))) - F.size(F.filter(w, lambda x: x.isin(NEGATIVE)))
-    return F.when(c.isNull(), None).when(F.length(c) < 50, "neutral").when(margin > 2, "positive").when(margin < -2, "negative").otherwise("neutral")
+    margin = let(words(c), lambda w: F.size(F.filter(w, lambda x: x.isin(POSITIVE))) - F.size(F.filter(w, lambda x: x.isin(NEGATIVE))))
+    tone = let(margin, lambda m: F.when(m > 2, "positive").when(m < -2, "negative").otherwise("neutral"))
+    return F.when(c.isNull(), None).when(F.length(c) < 50, "neutral").otherwise(tone)
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -102,12 +127,18 @@ def jaccard(a: Column, b: Column) -> Column:
 
 def quality(c: Column) -> Column:
     """STRUCT of part scores in 0..1 and their weighted total: length, structure, informativeness, readability."""
-    n = F.length(c)
-    w, s = words(c), sentences(c)
-    length = F.when(n < 50, 0.1).when(n < 200, 0.5).when(n < 500, 0.7).when(n < 2000, 1.0).when(n < 5000, 0.8).otherwise(0.6)
-    structure = F.when(F.contains(c, F.lit("\n\n")), 0.3).otherwise(0.0) + F.when(F.size(s) > 2, 0.4).otherwise(0.0) + F.when(c.rlike("[A-Z]"), 0.3).otherwise(0.0)
-    digits = F.length(F.regexp_replace(c, "[^0-9]", "")) / F.greatest(F.lit(1), n)
-    informative = F.when(F.size(w) > 0, 0.7 * F.size(F.array_distinct(w)) / F.size(w)).otherwise(0.0) + 0.3 * F.least(5 * digits, F.lit(1.0))
-    readable = F.coalesce(F.least(F.lit(1.0), F.greatest(F.lit(0.0), flesch(c) / 100)), F.lit(0.0))
-    total = F.when(n < 10, 0.0).otherwise(0.25 * length + 0.25 * structure + 0.25 * informative + 0.25 * readable)
-    return F.struct(length.alias("length_score"), structure.alias("structure_score"), informative.alias("informativeness"), readable.alias("readability"), F.when(c.isNotNull(), total).alias("quality"))
+
+    def parts(x: Column) -> Column:
+        n, w = F.length(x["c"]), x["w"]
+        length = F.when(n < 50, 0.1).when(n < 200, 0.5).when(n < 500, 0.7).when(n < 2000, 1.0).when(n < 5000, 0.8).otherwise(0.6)
+        structure = F.when(F.contains(x["c"], F.lit("\n\n")), 0.3).otherwise(0.0) + F.when(F.size(x["s"]) > 2, 0.4).otherwise(0.0) + F.when(x["c"].rlike("[A-Z]"), 0.3).otherwise(0.0)
+        digits = F.length(F.regexp_replace(x["c"], "[^0-9]", "")) / F.greatest(F.lit(1), n)
+        informative = F.when(F.size(w) > 0, 0.7 * F.size(F.array_distinct(w)) / F.size(w)).otherwise(0.0) + 0.3 * F.least(5 * digits, F.lit(1.0))
+        readable = F.coalesce(F.least(F.lit(1.0), F.greatest(F.lit(0.0), _flesch(x) / 100)), F.lit(0.0))
+        return F.struct(n.alias("n"), length.alias("length_score"), structure.alias("structure_score"), informative.alias("informativeness"), readable.alias("readability"))
+
+    def total(p: Column) -> Column:
+        score = F.when(p["n"] < 10, 0.0).otherwise(0.25 * p["length_score"] + 0.25 * p["structure_score"] + 0.25 * p["informativeness"] + 0.25 * p["readability"])
+        return F.struct(*[p[x].alias(x) for x in ("length_score", "structure_score", "informativeness", "readability")], F.when(p["n"].isNotNull(), score).alias("quality"))
+
+    return let(let(_parts(c), parts), total)
