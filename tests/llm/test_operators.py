@@ -209,6 +209,25 @@ def test_residue(spark):
         assert bool(list(residue.judge_title(title, "h.example"))) is bad, title
 
 
+def test_residue_of_one_template_is_found_at_every_size(spark):
+    names = "Ann Bob Cid Dan Eve Flo Gus Hal Ida Jan".split()
+    for n in (4, 6, 10):
+        df = spark.createDataFrame([(i, f"{x}, your order {{{{order_id}}}} has shipped") for i, x in enumerate(names[:n])], "rec_id bigint, text string")
+        assert {r.rec_id for r in residue.residue({"t": df}).collect()} == set(range(n))
+
+
+def test_residue_evidence_is_that_of_the_sentence():
+    assert residue.judge("The page was printed in May. Dear {{ user.first_name }}, the environment of the house has variable light.") == "slot"
+    assert residue.judge("The monitor is 15\" wide. Ask {{ agent_phone }} for more.") == "slot"
+    assert residue.judge("In the tutorial the template writes {{ name }} where the greeting goes.") is None
+    assert residue.judge("Set ${CACHE_DIR} to a disk with 9 free gigabytes, advises Ann. Call ${agent_phone} today.") == "slot"
+    assert residue.judge("The variable $HOME$ names a folder.") is None
+    body = "\n".join(f"{prose(12)}." for _ in range(9))
+    assert residue.judge(body) is None and residue.judge("Not found\n" + body) is None
+    assert residue.judge(f"{body}\nPlease enable JavaScript to view this page.\n{body}") == "message"
+    assert residue.judge(f"{body}\nError 503 service unavailable\n{body}") == "message"
+
+
 # ---- boilerplate -----------------------------------------------------------------------------------------------
 
 def page(k, r):
