@@ -192,6 +192,14 @@ def test_products_window_meets_partition_borders(spark):
     assert grouped(spark, rows) == want
 
 
+def test_products_with_more_spellings_than_any_window(spark):
+    double = lambda w: [w[: i + 1] + w[i:] for i in range(len(w))]
+    names = [(a, b) for a in ["skoathke", *double("skoathke")] for b in ["noatoru", *double("noatoru")]] + [("skoathkx", "noatoru"), ("skoathke", "noatozu"), ("skoathkey", "noatoru")]
+    rows = [(i, f"{a} {b} GED 2820 drill 24V 2 Ah", None, None) for i, (a, b) in enumerate(names)] + [(900, "wairkttro cilkith GED 2820 drill 24V 2 Ah", None, None)]
+    groups = products.groups(spark.createDataFrame([(*r, "c", "n") for r in rows], ITEM)).collect()
+    assert {r.product_id for r in groups if r.item_id != 900} == {0} and [r.product_id for r in groups if r.item_id == 900] == [900]
+
+
 # ---- residue ---------------------------------------------------------------------------------------------------
 
 def test_residue(spark):
