@@ -1,7 +1,8 @@
 """Deeply nested JSON records turned into related flat tables that keep their parent links.
 
-A bottom-up tree automaton classifies every node: its state is made of the node's role and the states of its keys, so
-two objects share a state exactly when they have the same shape. A transition table says in which role the value under
+A bottom-up tree automaton classifies every node: its state is made of its keys and the states of their values, at every
+depth and through strings that hold JSON, so two objects share a state exactly when they have the same shape. A row is
+found by its role and carries its state (``variants`` is the table of the states of each role). A transition table says in which role the value under
 a key is read (``ROLES``); objects in a known role are routed to the subtype table of that role. All subtype tables
 share the supertype keys ``kind, rec_id, path, parent_path, found, state``; ``body`` holds the object itself.
 
@@ -10,6 +11,7 @@ positions count from zero over the list as it stands (an element that is no obje
 Texts that are null, cut off or no valid JSON have no rows; NaN and Infinity are no JSON.
 """
 
+import hashlib
 import json
 from collections.abc import Iterator
 
@@ -47,13 +49,30 @@ def _seen_through(value):
     return value
 
 
-def _state(value, depth: int = 3) -> str:
-    """The automaton's state of a node: its kind and, for an object, the states of its keys."""
-    if isinstance(value, dict):
-        return "{" + ",".join(f"{k}:{_state(value[k], depth - 1)}" for k in sorted(value)) + "}" if depth else "{}"
-    if isinstance(value, list):
-        return "[" + "|".join(sorted({_state(x, depth - 1) for x in value})) + "]" if depth else "[]"
-    return "z" if value is None else "b" if isinstance(value, bool) else "n" if isinstance(value, int | float) else "s"
+def _state(value) -> str:
+    """The automaton's state of a node, made bottom-up: a digest of its keys and its children's states at every depth.
+
+    The states of a list's elements are a set. A string that holds JSON has that JSON's state. Without recursion of our
+    own, so that depth is bounded only by the JSON reader.
+    """
+    done: list[str] = []
+    todo: list[tuple[object, bool]] = [(value, False)]
+    while todo:
+        node, ready = todo.pop()
+        if not ready:
+            node = _seen_through(node)
+        if not isinstance(node, dict | list):
+            done.append("z" if node is None else "b" if isinstance(node, bool) else "n" if isinstance(node, int | float) else "s")
+        elif not ready:
+            todo.append((node, True))
+            todo.extend((x, False) for x in (node.values() if isinstance(node, dict) else node))
+        else:
+            # Children are finished in the reverse order of their keys.
+            own = done[len(done) - len(node) :][::-1]
+            del done[len(done) - len(node) :]
+            shape = json.dumps(["o", *sorted(zip(node, own, strict=True))] if isinstance(node, dict) else ["l", *sorted(set(own))])
+            done.append(hashlib.md5(shape.encode("utf-8", "surrogatepass")).hexdigest())
+    return done[0]
 
 
 def _text(value) -> str:
@@ -122,6 +141,11 @@ def subtype(flat: DataFrame, kind: str) -> DataFrame:
     return flat.filter(F.col("kind") == kind).select("rec_id", "path", "parent_path", "found", "state", *[F.get_json_object("body", p).alias(n) for n, p in own.items()])
 
 
+def variants(flat: DataFrame) -> DataFrame:
+    """(kind, state, n_rows, n_records): the structural variants of each role and how often they occur."""
+    return flat.groupBy("kind", "state").agg(F.count("*").alias("n_rows"), F.count_distinct("rec_id").alias("n_records"))
+
+
 def found(configs: DataFrame, rollouts: DataFrame) -> DataFrame:
     """(kind, rec_id, path, found): stages and conditions of config_json, rollouts of payload."""
     both = flatten(configs, "config_id", "config_json", "pipeline").unionByName(flatten(rollouts, "snapshot_id", "payload", "snapshot"))

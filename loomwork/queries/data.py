@@ -1,7 +1,6 @@
 """Units and nested records."""
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from loomwork.operators import nested, units
 from loomwork.sources import table
@@ -18,9 +17,10 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many stages each structural variant has."""
-    flat = nested.flatten(table(spark, sf_dir, "pipeline_configs", "config_id", "config_json"), "config_id", "config_json", "pipeline")
-    return flat.groupBy("kind", "state").agg(F.count("*").alias("n_rows"), F.count_distinct("rec_id").alias("n_records"))
+    """How many objects of both tables each structural variant has."""
+    stages = nested.flatten(table(spark, sf_dir, "pipeline_configs", "config_id", "config_json"), "config_id", "config_json", "pipeline")
+    rollouts = nested.flatten(table(spark, sf_dir, "rollout_configs", "snapshot_id", "payload"), "snapshot_id", "payload", "snapshot")
+    return nested.variants(stages.unionByName(rollouts))
 
 
 def p2_conditions(spark: SparkSession, sf_dir: str) -> DataFrame:

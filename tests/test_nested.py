@@ -34,3 +34,21 @@ def test_tables(spark):
     b = spark.createDataFrame([], "snapshot_id bigint, payload string")
     assert [tuple(r) for r in nested.found(a, b).collect()] == [("stage", 1, "0", "a")]
     assert nested.subtype(nested.flatten(a, "config_id", "config_json", "pipeline"), "stage").first().stage_type == "T"
+
+
+def test_states_tell_shapes_apart_at_every_depth():
+    deep = lambda leaf: {"name": "a", "config": {"stages": [{"name": "b", "config": {"stages": [{"name": "c", "config": leaf}]}}]}}
+    assert nested._state(deep({"x": 1})) != nested._state(deep({"x": "1"})) and nested._state(deep({"x": 1})) == nested._state(deep({"x": 2.5}))
+    assert nested._state(deep({"x": 1, "y": None})) == nested._state(deep({"y": None, "x": 7})) != nested._state(deep({"y": 7, "x": None}))
+    assert nested._state({"c": json.dumps(deep({"x": 1}))}) == nested._state({"c": deep({"x": 2})}) != nested._state({"c": "plain"})
+    assert nested._state({"a:n,b": 1}) != nested._state({"a": 1, "b": 1}) and nested._state([1, 2]) == nested._state([3]) != nested._state([])
+    node = {}
+    for _ in range(5000):
+        node = {"k": [node]}
+    assert nested._state(node)
+
+
+def test_variants_of_both_tables(spark, data):
+    from loomwork.queries.data import p2_variants
+
+    assert {r.kind for r in p2_variants(spark, data).select("kind").distinct().collect()} == {"stage", "condition", "rollout"}
