@@ -238,6 +238,7 @@ def is_case(text: str) -> bool:
 
 SOURCES = {"page_data": ("page_id", "main_content"), "scraped_content": ("content_id", "content"), "broker_results": ("result_id", "full_text")}
 LINES = "src_table string, rec_id bigint, line_no bigint, p_body double, is_body boolean"
+BODIES = "src_table string, rec_id bigint, n_lines bigint, n_body bigint, main_body string"
 BATCH = 512
 
 
@@ -247,7 +248,7 @@ def _pages(tables: dict[str, DataFrame]) -> DataFrame:
         rec, text = SOURCES[name]
         title = F.col("title") if "title" in df.columns else F.lit(None).cast("string")
         parts.append(df.select(F.lit(name).alias("src_table"), F.col(rec).cast("bigint").alias("rec_id"), F.col(text).alias("text"), title.alias("title")))
-    return reduce(DataFrame.unionByName, parts).filter("rec_id is not null and text is not null")
+    return reduce(DataFrame.unionByName, parts).filter("rec_id is not null")
 
 
 def fit(pages: DataFrame, max_pages: int = 1500) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -259,24 +260,28 @@ def fit(pages: DataFrame, max_pages: int = 1500) -> tuple[np.ndarray, np.ndarray
     return train([observed(r.text, r.title, known)[1] for r in sample.select("text", "title").collect() if is_case(r.text)])
 
 
+def _zoned(rows: list[tuple], known: Forms, model: tuple) -> Iterator[tuple[list[tuple], np.ndarray, np.ndarray]]:
+    """(pages as (src_table, rec_id, line numbers, forms, text), lines of each, p_body of all lines) for rows (src_table, rec_id, text, title)."""
+    seen = [(s, i, *observed(t, h, known), t) for s, i, t, h in rows if t is not None and is_case(t)]
+    # Pages of like length are padded together.
+    seen = sorted((x for x in seen if x[2]), key=lambda x: len(x[2]))
+    for a in range(0, len(seen), BATCH):
+        part = seen[a : a + BATCH]
+        forms, lengths = _padded([x[3] for x in part])
+        step = max(1, 2_000_000 // (forms.shape[1] * N_ZONES))
+        zones = np.concatenate([marginals(forms[b : b + step], lengths[b : b + step], model)[0] for b in range(0, len(part), step)])
+        yield part, lengths, (zones * KEPT.T[np.maximum(forms, 0)]).sum(axis=2)[forms >= 0]
+
+
 def judged(tables: dict[str, DataFrame], max_pages: int = 1500) -> DataFrame:
     """(src_table, rec_id, line_no, p_body, is_body) of every line that is not blank."""
-    pages = _pages(tables)
+    pages = _pages(tables).filter("text is not null")
     model = fit(pages, max_pages)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Forms()
         for batch in batches:
-            rows = [(s, i, t, h) for s, i, t, h in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
-            seen = [(s, i, *observed(t, h, known)) for s, i, t, h in rows if is_case(t)]
-            # Pages of like length are padded together.
-            seen = sorted((x for x in seen if x[2]), key=lambda x: len(x[2]))
-            for a in range(0, len(seen), BATCH):
-                part = seen[a : a + BATCH]
-                forms, lengths = _padded([x[3] for x in part])
-                step = max(1, 2_000_000 // (forms.shape[1] * N_ZONES))
-                zones = np.concatenate([marginals(forms[b : b + step], lengths[b : b + step], model)[0] for b in range(0, len(part), step)])
-                body = (zones * KEPT.T[np.maximum(forms, 0)]).sum(axis=2)[forms >= 0]
+            for part, lengths, body in _zoned(list(zip(*(c.to_pylist() for c in batch.columns), strict=True)), known, model):
                 names = np.repeat(np.array([x[0] for x in part], dtype=object), lengths)
                 ids = np.repeat(np.array([x[1] for x in part], dtype=np.int64), lengths)
                 numbers = np.concatenate([np.array(x[2], dtype=np.int64) for x in part])
@@ -290,6 +295,29 @@ def found(tables: dict[str, DataFrame]) -> DataFrame:
     return judged(tables).filter("not is_body").select("src_table", "rec_id", "line_no").distinct()
 
 
-def main_bodies(tables: dict[str, DataFrame]) -> DataFrame:
-    """(src_table, rec_id, n_lines, n_body): how many lines each page has and keeps."""
-    return judged(tables).groupBy("src_table", "rec_id").agg(F.count_distinct("line_no").alias("n_lines"), F.count_distinct(F.when(F.col("is_body"), F.col("line_no"))).alias("n_body"))
+def main_bodies(tables: dict[str, DataFrame], max_pages: int = 1500) -> DataFrame:
+    """(src_table, rec_id, n_lines, n_body, main_body): each page without the lines of ``found``; all pages come out.
+
+    ``n_lines`` and ``n_body`` count lines that are not blank. A null text stays null, a mere message stays as it is.
+    """
+    pages = _pages(tables)
+    model = fit(pages.filter("text is not null"), max_pages)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Forms()
+        for batch in batches:
+            rows, out, judged_ids = list(zip(*(c.to_pylist() for c in batch.columns), strict=True)), [], set()
+            for part, lengths, body in _zoned(rows, known, model):
+                for (s, i, numbers, _, text), own in zip(part, np.split(body >= 0.5, np.cumsum(lengths)[:-1]), strict=True):
+                    gone = {n for n, keep in zip(numbers, own.tolist(), strict=True) if not keep}
+                    out.append((s, i, len(numbers), len(numbers) - len(gone), "\n".join(x for n, x in enumerate(text.split("\n"), 1) if n not in gone)))
+                    judged_ids.add((s, i, text))
+            for s, i, text, _ in rows:
+                if (s, i, text) not in judged_ids:
+                    n = sum(1 for x in (text or "").split("\n") if x.strip())
+                    out.append((s, i, n, n, text))
+            cols = list(zip(*out, strict=True)) if out else [[]] * 5
+            kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=[x.split(" ")[0] for x in BODIES.split(", ")])
+
+    return pages.mapInArrow(run, BODIES).distinct()

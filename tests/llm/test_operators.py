@@ -280,3 +280,13 @@ def test_boilerplate_edges(spark):
     got = sorted((r.rec_id, r.line_no) for r in boilerplate.found({"page_data": df}).collect())
     assert got == [(5, 1), (5, 2), (5, 3)]
     assert boilerplate.found({"page_data": df.limit(0)}).count() == 0
+
+
+def test_main_bodies_are_the_texts_without_the_found_lines(spark):
+    r = random.Random(4)
+    pages = {k: "\n".join(x for x, _ in page(k, r)) for k in range(40)} | {90: None, 91: "", 92: "Please enable JavaScript to view this page."}
+    df = {"page_data": spark.createDataFrame([(k, t, None) for k, t in [*pages.items(), (0, pages[0])]], "page_id bigint, main_content string, title string")}
+    gone = {(x.rec_id, x.line_no) for x in boilerplate.found(df).collect()}
+    got = [(x.rec_id, x.main_body) for x in boilerplate.main_bodies(df).collect()]
+    want = {k: t if t is None else "\n".join(x for n, x in enumerate(t.split("\n"), 1) if (k, n) not in gone) for k, t in pages.items()}
+    assert len(got) == len(pages) and dict(got) == want and gone
