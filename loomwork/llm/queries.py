@@ -51,6 +51,10 @@ def p6_collapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return refine.collapsed(table(spark, sf_dir, "search_results"), "search_results")
 
 
+def p6_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return refine.records({n: table(spark, sf_dir, n) for n in refine.FIELDS})
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.standing_lines(table(spark, sf_dir, "page_data", "page_id", "url", "main_content"))
 
@@ -89,7 +93,7 @@ def p10_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.Spans(table(spark, sf_dir, "documents", "doc_id", "text")).coverage()
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_pages, p4_found, p4_groups, p5_found, p5_reasons, p6_found, p6_collapsed, p7_found, p7_pages, p8_found, p8_leaks, p9_found, p9_shares, p9_selected, p10_found, p10_shared)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_pages, p4_found, p4_groups, p5_found, p5_reasons, p6_found, p6_collapsed, p6_records, p7_found, p7_pages, p8_found, p8_leaks, p9_found, p9_shares, p9_selected, p10_found, p10_shared)}
 
 _FOLD = "regexp_replace(lower({0}), '[^\\p{{L}}\\p{{N}}\\p{{M}}]+', '', 'g')"
 

@@ -95,3 +95,14 @@ def collapsed(df: DataFrame, name: str) -> DataFrame:
     rest = df.select(F.col(row_id).cast("bigint").alias("row_id")).filter("row_id is not null").distinct().join(found, "row_id", "left_anti")
     firsts = found.filter("row_id = first_id").select("row_id", "n_copies")
     return firsts.unionByName(rest.select("row_id", F.lit(1).cast("bigint").alias("n_copies"))).withColumnRenamed("row_id", row_id)
+
+
+def records(tables: dict[str, DataFrame]) -> DataFrame:
+    """(src_table, rec_id, n_copies, every other column): the record of least id of each group of copies, over all tables."""
+    parts = []
+    for name, df in tables.items():
+        row_id = FIELDS[name][0]
+        keyed = df.withColumn(row_id, F.col(row_id).cast("bigint"))
+        whole = keyed.join(collapsed(keyed, name), row_id).dropDuplicates([row_id])
+        parts.append(whole.select(F.lit(name).alias("src_table"), F.col(row_id).alias("rec_id"), "n_copies", *[c for c in df.columns if c != row_id]))
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)

@@ -44,6 +44,14 @@ def test_refine_hot_class_and_long_text(spark):
     assert len(got) == 60 and {f for _, f, _ in got} == {0, 1} and {n for *_, n in got} == {30}
 
 
+def test_records_of_both_tables_with_their_copies(spark):
+    hits = spark.createDataFrame([(1, "A b", "s", "http://x/", "{}", "d"), (2, "a-b", "S", "http://x/", "{}", "e"), (3, "c", None, "u", None, None)], "hit_id bigint, title string, snippet string, url string, metadata string, domain string")
+    brokers = spark.createDataFrame([(1, "A", "9", "Full text", "v"), (4, "a", "9", "full  TEXT", "V"), (5, None, None, None, None)], "result_id bigint, title string, price string, full_text string, detail_url string")
+    got = refine.records({"search_results": hits, "broker_results": brokers}).collect()
+    assert sorted((r.src_table, r.rec_id, r.n_copies, r.title, r.domain, r.full_text) for r in got if r.rec_id == 1) == [("broker_results", 1, 2, "A", None, "Full text"), ("search_results", 1, 2, "A b", "d", None)]
+    assert sorted((r.src_table, r.rec_id, r.n_copies) for r in got if r.rec_id > 1) == [("broker_results", 5, 1), ("search_results", 3, 1)]
+
+
 # ---- lines -----------------------------------------------------------------------------------------------------
 
 def test_lines(spark):
