@@ -96,6 +96,17 @@ def U4_three_keys(spark, d):
     return df.select("doc_id")
 
 
+@query(r"""WITH a AS (SELECT doc_id, coalesce(nullif(regexp_replace(lower(split_part(split_part(trim(url), '#', 1), '?', 1)), '/+$', ''), ''), '#' || doc_id) AS u, coalesce(nullif(text, ''), chr(1) || doc_id) AS h FROM documents),
+  b AS (SELECT *, row_number() OVER (PARTITION BY u ORDER BY doc_id) AS r FROM a), c AS (SELECT *, row_number() OVER (PARTITION BY h ORDER BY doc_id) AS q FROM b WHERE r = 1) SELECT doc_id FROM c WHERE q = 1""")
+def U4_whole_keys(spark, d):
+    """By the address without query, fragment and trailing slash, then by the whole text; documents have no title. Null and empty keys pass."""
+    address = F.regexp_replace(F.lower(F.regexp_replace(F.trim("url"), r"(?s)[?#].*$", "")), "/+$", "")
+    df = table(spark, d, "documents", "doc_id", "url", "text").select("doc_id", address.alias("u"), F.when(F.col("text") != "", F.sha2("text", 256)).alias("h"))
+    for key in ("u", "h"):
+        df = dedup.first_by(df, [F.coalesce(F.nullif(F.col(key), F.lit("")), F.concat(F.lit("#"), F.col("doc_id").cast("string")))], [F.col("doc_id")])
+    return df.select("doc_id")
+
+
 @query("SELECT k, arg_max(result_id, (filled, -result_id)) AS best FROM (SELECT lower(detail_url) AS k, result_id, (title IS NOT NULL)::INT + (price IS NOT NULL)::INT + (image_url IS NOT NULL)::INT AS filled FROM broker_results) GROUP BY k")
 def U7_most_complete(spark, d):
     filled = sum((F.col(c).isNotNull().cast("int") for c in ("title", "price", "image_url")), F.lit(0))
