@@ -12,12 +12,20 @@ EDGES = units.money_edges(RATES)
     ("$28,400", 28400, "$"), ("1,346 Mio. EUR", 1346000, "eur"), ("AUD 24.800", 24800, None), ("EUR 684.700,00", 684700, "eur"), ("209'900.00 USD", 209900, "usd"), ("usd 34 800", 34800, "usd"),
     ("1.99m USD", 1990000, "usd"), ("INR 8.41 lac", 841000, "inr"), ("269 thousand US dollars", 269000, "us dollars"), ("$ 730,600,,", 730600, "$"), ("USD 31.500,-", 31500, "usd"),
     ("n/a", None, None), ("", None, None), (None, None, None), ("US$720k", 720000, "us$"), ("12.5 EUR", 12.5, "eur"), ("1.234.567", 1234567, None), ("£ 5", 5, "£"),
+    ("3 bed, $450,000", 450000, "$"), ("2 bath home, 1.2 million EUR", 1200000, "eur"), ("2 rooms, 350k", 350000, None), ("1,234", 1234, None), ("1,23", 1.23, None), ("1.234,5 eur", 1234.5, "eur"),
 ])
 def test_price_texts(spark, text, amount, unit):
-    a, u = units.parse_money_text(F.col("t"), EDGES)
-    row = spark.createDataFrame([(text,)], "t string").select(a.alias("a"), u.alias("u")).first()
-    assert row.a == (None if amount is None else pytest.approx(amount))
-    assert row.u == unit
+    row = units.with_money(spark.createDataFrame([(text,)], "t string"), "t", EDGES).select("money.*").first()
+    assert row.value is None if amount is None else row.value * units.SCALES.get(row.scale, 1.0) == pytest.approx(amount)
+    assert row.unit == unit
+
+
+@pytest.mark.parametrize(("text", "unit"), [
+    ("The amount is in cents.", "cents"), ("Price in pounds.", "pounds"), ("Shop currency: £", "£"), ("He paid in yen last year. Shop currency: GBP.", "gbp"), ("The seller quotes pounds sterling throughout.", "pounds sterling"),
+    ("AMOUNTS\u00a0SHOWN IN EUR", "eur"), ("It weighs ten pounds and has a red kr.", None), ("Sold for Indian rupees only", "indian rupees"), (None, None), ("", None), ("Billed in euros at checkout.", "euros"),
+])
+def test_units_that_texts_name(spark, text, unit):
+    assert spark.createDataFrame([(text,)], "t string").select(units.named_in_text(F.col("t"), EDGES)).first()[0] == unit
 
 
 def test_compose_is_shortest_and_checks_cycles():
