@@ -93,7 +93,11 @@ def p10_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.Spans(table(spark, sf_dir, "documents", "doc_id", "text")).coverage()
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_pages, p4_found, p4_groups, p5_found, p5_reasons, p6_found, p6_collapsed, p6_records, p7_found, p7_pages, p8_found, p8_leaks, p9_found, p9_shares, p9_selected, p10_found, p10_shared)}
+def p10_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.Spans(table(spark, sf_dir, "documents", "doc_id", "text")).factors()
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_pages, p4_found, p4_groups, p5_found, p5_reasons, p6_found, p6_collapsed, p6_records, p7_found, p7_pages, p8_found, p8_leaks, p9_found, p9_shares, p9_selected, p10_found, p10_shared, p10_factors)}
 
 _FOLD = "regexp_replace(lower({0}), '[^\\p{{L}}\\p{{N}}\\p{{M}}]+', '', 'g')"
 
@@ -125,7 +129,26 @@ _P7_LINES = """
 
 _P8_WORDS = "list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}\\p{M}]+'), lambda w: w <> '')"
 
+_P10 = """
+  WITH texts AS (SELECT DISTINCT doc_id, text FROM documents WHERE length(text) >= 300),
+  reps AS (SELECT min(doc_id) AS rep, text, count(*) AS n_copies FROM texts GROUP BY text),
+  members AS (SELECT doc_id, rep, n_copies, length(text) AS n FROM texts JOIN reps USING (text)),
+  places AS (SELECT rep, unnest(range(length(text) - 299)) AS s, text FROM reps),
+  grams AS (SELECT rep, s, hash(substr(text, s + 1, 300)) AS h FROM places),
+  several AS (SELECT h, min((rep, s)) AS low, max((rep, s)) AS high FROM grams GROUP BY h HAVING min(rep) <> max(rep)),
+  shared AS (SELECT rep, s, h, CASE WHEN rep = low[1] THEN high ELSE low END AS w FROM grams JOIN several USING (h)),
+  islands AS (SELECT rep, s, w[1] AS ref, s - w[2] AS shift, s - row_number() OVER (PARTITION BY rep, w[1], s - w[2] ORDER BY s) AS island FROM shared),
+  factors AS (SELECT rep, min(s) AS start, max(s) - min(s) + 300 AS size, ref, min(s) - shift AS ref_start FROM islands GROUP BY rep, ref, shift, island)"""
+
 ORACLES = {
+    "p10_found": f"""{_P10}, links AS (SELECT DISTINCT a.rep AS x, b.rep AS y FROM (SELECT DISTINCT rep, h FROM shared) a JOIN (SELECT DISTINCT rep, h FROM shared) b USING (h))
+  SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM (SELECT x, y FROM links UNION SELECT rep, rep FROM members) JOIN members a ON a.rep = x JOIN members b ON b.rep = y WHERE a.doc_id < b.doc_id""",
+    "p10_factors": f"{_P10} SELECT * FROM factors",
+    "p10_shared": f"""{_P10}, gaps AS (SELECT rep, s, lag(s) OVER (PARTITION BY rep ORDER BY s) AS prev FROM shared),
+  chars AS (SELECT rep, sum(CASE WHEN prev IS NULL OR s - prev > 300 THEN 300 ELSE s - prev END)::BIGINT AS chars FROM gaps GROUP BY rep),
+  sums AS (SELECT rep, count(*) AS n_factors, count(DISTINCT ref) AS n_refs FROM factors GROUP BY rep)
+  SELECT doc_id, rep AS class_id, n_copies, coalesce(n_factors, 0) AS n_factors, coalesce(n_refs, 0) AS n_refs, CASE WHEN n_copies > 1 THEN n ELSE chars END AS shared_chars, n AS n_chars
+  FROM members LEFT JOIN sums USING (rep) LEFT JOIN chars USING (rep) WHERE n_copies > 1 OR chars > 0""",
     "p6_found": f"WITH keyed AS ({_P6_KEYS}), firsts AS (SELECT *, min(id) OVER (PARTITION BY src_table, a, b, c, d) AS first_id FROM keyed) SELECT DISTINCT src_table, first_id, id AS copy_id FROM firsts WHERE id <> first_id",
     "p6_collapsed": f"WITH keyed AS ({_P6_KEYS}) SELECT min(id) AS hit_id, count(*) AS n_copies FROM keyed WHERE src_table = 'search_results' GROUP BY a, b, c, d",
     "p7_found": f"{_P7_LINES} SELECT page_id, line_no FROM found",

@@ -1,15 +1,20 @@
 """Long exact spans shared between records: relative Lempel-Ziv parsing against indexed reference blocks.
 
-Every text contributes reference blocks around anchors. An anchor is the k-gram of least hash within any window of
-``length - k + 1`` k-grams, so two texts that share a run of ``length`` characters share an anchor inside that run.
-Anchors that only one text has are dropped by an aggregated count; the rest are looked up by hash (an equi-join, no
-pair of texts is tried without a common anchor). A block reaches ``length - k`` characters to both sides of its anchor.
-A text is parsed against the blocks of its anchor greedily: the factor is extended from the anchor to both factor
-boundaries, where the next characters are checked; a factor of at least ``length`` characters is a shared span.
-
-Copies of one text are one class (by hash and length of the text) and equal blocks of one anchor are one class as
-well; only class representatives are compared, so a passage that a third of all texts have costs one comparison per
-distinct surrounding. ``links`` gives pairs between classes; ``found`` expands them, as its definition asks for every pair.
+Every window of ``length`` characters belongs to one anchor: its k-gram of least hash (the leftmost of equals). Equal
+windows have equal anchors at equal offsets, so the windows of an anchor that only one text has are shared by nobody;
+such anchors are dropped by an aggregated count. A reference block is an anchor with the text of all windows it owns;
+equal blocks are one class. The index of the blocks is keyed by (anchor, factor boundary, content): first for each bin
+of boundaries by the characters that all factors starting in the bin have in common, then, for the bins that several
+texts share, for every boundary by the whole window. No two blocks are ever compared with each other, so the cost is in
+proportion to the blocks however many texts hold one anchor in different surroundings.
+
+Parsing a text takes its indexed windows from left to right: a factor goes on while the following window stands at the
+following place of the same reference, and a window begins the next factor where the one before ends. The reference of
+a window is the least text that has it, for that text itself the greatest. Every factor has at least ``length``
+characters and is checked at both boundaries, since its first and last window are found and the next ones are not.
+
+Copies of one text are one class (by hash and length). ``found`` lists every pair, as its definition asks: each set of
+texts that share some window is expanded once. ``factors`` and ``coverage`` stay linear.
 
 Characters are code points. Null texts and texts shorter than ``length`` share nothing. Repeated rows count once.
 """
@@ -18,12 +23,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomwork.plans.lineage import cut
 
-LENGTH, GRAM, SALTS = 300, 200, 8
+LENGTH, GRAM, BIN, SALTS = 300, 200, 25, 16
 BASE = 0x9E3779B97F4A7C15
 BATCH_CHARS = 1_000_000
 
@@ -51,13 +56,20 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.cumprod(out, dtype=np.uint64)
 
 
-def _sliding_min(values: np.ndarray, width: int) -> np.ndarray:
+def _sliding_argmin(values: np.ndarray, width: int) -> np.ndarray:
+    """Index of the least value of each run of ``width`` values, the leftmost of equals."""
     n = len(values)
-    top = np.full((-n) % width, np.iinfo(np.uint64).max, dtype=np.uint64)
-    rows = np.concatenate([values, top]).reshape(-1, width)
-    ahead = np.minimum.accumulate(rows, axis=1).ravel()
-    behind = np.minimum.accumulate(rows[:, ::-1], axis=1)[:, ::-1].ravel()
-    return np.minimum(behind[: n - width + 1], ahead[width - 1 : n])
+    rows = np.concatenate([values, np.full((-n) % width, np.iinfo(np.uint64).max, dtype=np.uint64)]).reshape(-1, width)
+    index = np.arange(rows.size).reshape(rows.shape)
+    ahead = np.minimum.accumulate(rows, axis=1)
+    fresh = np.ones(rows.shape, dtype=bool)
+    fresh[:, 1:] = rows[:, 1:] < ahead[:, :-1]
+    ahead_at = np.maximum.accumulate(np.where(fresh, index, -1), axis=1).ravel()
+    behind = np.minimum.accumulate(rows[:, ::-1], axis=1)
+    behind_at = np.minimum.accumulate(np.where(rows[:, ::-1] == behind, index[:, ::-1], rows.size), axis=1)[:, ::-1].ravel()
+    first, last = behind_at[: n - width + 1], ahead_at[width - 1 : n]
+    flat = rows.ravel()
+    return np.where(flat[first] <= flat[last], first, last)
 
 
 class Anchors:
@@ -67,8 +79,11 @@ class Anchors:
         self.length, self.gram = length, gram
         self.up = self.down = np.ones(1, dtype=np.uint64)
 
-    def of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(index of the text, hash, position) of each anchor; all texts are at least ``length`` long."""
+    def of(self, texts: list[str]) -> tuple[np.ndarray, ...]:
+        """(index of the text, hash, position, least and greatest distance of an owned window's start) of each anchor.
+
+        All texts are at least ``length`` long.
+        """
         codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
         n, k, width = len(codes), self.gram, self.length - self.gram + 1
         if n > len(self.up):
@@ -76,39 +91,31 @@ class Anchors:
         sums = np.zeros(n + 1, dtype=np.uint64)
         np.cumsum(_mix(codes + np.uint64(1)) * self.up[:n], out=sums[1:])
         grams = _mix((sums[k:] - sums[:-k]) * self.down[: n - k + 1])
-        least = _sliding_min(grams, width)
+        least = _sliding_argmin(grams, width)
         sizes = np.array([len(t) for t in texts])
         ends = np.cumsum(sizes)
-        starts = ends - sizes
         owner = np.repeat(np.arange(len(texts)), sizes)[: len(least)]
-        inside = np.arange(len(least)) + self.length <= ends[owner]
-        fresh = np.ones(len(least), dtype=bool)
-        fresh[1:] = (least[1:] != least[:-1]) | (owner[1:] != owner[:-1])
-        at = np.nonzero(inside & fresh)[0]
-        place = at.copy()
-        hit = np.zeros(len(at), dtype=bool)
-        for step in range(width):  # where in its window the least gram stands
-            probe = at + step
-            new = ~hit & (grams[np.minimum(probe, len(grams) - 1)] == least[at])
-            place[new] = probe[new]
-            hit |= new
-            if hit.all():
-                break
-        keep = np.unique(np.stack([owner[at], place]), axis=1)
-        return keep[0], grams[keep[1]], keep[1] - starts[keep[0]]
+        at = np.nonzero(np.arange(len(least)) + self.length <= ends[owner])[0]
+        owner, place = owner[at], least[at]
+        fresh = np.ones(len(at), dtype=bool)
+        fresh[1:] = (place[1:] != place[:-1]) | (owner[1:] != owner[:-1])
+        begin = np.nonzero(fresh)[0]
+        end = np.append(begin[1:], len(at)) - 1
+        own, place = owner[begin], place[begin]
+        return own, grams[place], place - (ends - sizes)[own], place - at[end], place - at[begin]
 
 
 def anchors(texts: DataFrame, length: int, gram: int) -> DataFrame:
-    """(h, t, n, pos) for texts (t, n, text)."""
-    names = ["h", "t", "n", "pos"]
+    """(h, t, n, pos, lo, hi) for texts (t, n, text): the windows that the anchor at ``pos`` owns start at pos - hi to pos - lo."""
+    names = ["h", "t", "n", "pos", "lo", "hi"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = Anchors(length, gram)
 
         def flush(rows: list[tuple[int, int, str]]) -> pa.RecordBatch:
-            owner, h, pos = tool.of([r[2] for r in rows])
+            owner, h, pos, lo, hi = tool.of([r[2] for r in rows])
             t, n = np.array([r[0] for r in rows], dtype=np.int64), np.array([r[1] for r in rows], dtype=np.int32)
-            return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(t[owner]), pa.array(n[owner]), pa.array(pos.astype(np.int32))], names=names)
+            return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(t[owner]), pa.array(n[owner]), pa.array(pos.astype(np.int32)), pa.array(lo.astype(np.int16)), pa.array(hi.astype(np.int16))], names=names)
 
         rows, size = [], 0
         for batch in batches:
@@ -121,110 +128,113 @@ def anchors(texts: DataFrame, length: int, gram: int) -> DataFrame:
         if rows:
             yield flush(rows)
 
-    return texts.mapInArrow(run, "h bigint, t bigint, n int, pos int")
+    return texts.mapInArrow(run, "h bigint, t bigint, n int, pos int, lo smallint, hi smallint")
 
 
-def _common(a: str, b: str) -> int:
-    """Length of the common prefix."""
-    if a == b:
-        return len(a)
-    low, high = 0, min(len(a), len(b))
-    while low < high:
-        middle = (low + high + 1) // 2
-        low, high = (middle, high) if a[low:middle] == b[low:middle] else (low, middle - 1)
-    return low
+def _salted(df: DataFrame) -> DataFrame:
+    """``df`` once for every salt."""
+    return df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
 
 
-def factor(a: str, at_a: int, b: str, at_b: int, gram: int) -> tuple[int, int]:
-    """How far the factor through an anchor reaches to the left and to the right of the anchor; (-1, -1) if the anchors differ."""
-    if a[at_a : at_a + gram] != b[at_b : at_b + gram]:
-        return -1, -1
-    return _common(a[:at_a][::-1], b[:at_b][::-1]), _common(a[at_a + gram :], b[at_b + gram :])
+def _salt(*by: str) -> Column:
+    return F.pmod(F.xxhash64(*by), F.lit(SALTS)).cast("int").alias("salt")
 
 
 class Spans:
     """The shared spans of one table of documents. Anchors are cheap to find and bulky to store, so both reads compute them."""
 
     def __init__(self, docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM):
-        self.length, self.gram = length, gram
+        if not 0 < gram < length < 30_000:
+            raise ValueError("a gram must be shorter than a span, a span below 30,000 characters")
+        self.length = length
         base = docs.select(F.col(doc_id).cast("bigint").alias("doc"), F.col(text).alias("text")).filter("doc is not null and text is not null")
         base = base.select("doc", F.xxhash64("text").alias("t"), F.length("text").alias("n"), "text").filter(F.col("n") >= length)
         self.members = base.select("doc", "t", "n").distinct()
         copies = self.members.groupBy("t", "n").agg(F.min("doc").alias("rep"))
         found = anchors(base.select("t", "n", "text"), length, gram)
-        salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-        shared = found.groupBy("h").agg(F.min("t").alias("lo"), F.max("t").alias("hi")).filter("lo <> hi").select("h", salts.alias("salt"))
-        kept = found.withColumn("salt", F.pmod("t", F.lit(SALTS)).cast("int")).join(shared, ["h", "salt"], "left_semi").select("h", "t", "n", "pos").distinct()
-        located = kept.join(copies, ["t", "n"])
-        margin = length - gram
-        left = F.least(F.col("pos"), F.lit(margin))
+        shared = found.groupBy("h").agg(F.min("t").alias("least"), F.max("t").alias("most")).filter("least <> most").select("h")
+        kept = found.withColumn("salt", _salt("t")).join(_salted(shared), ["h", "salt"], "left_semi").drop("salt").distinct()
         texts = base.select(F.col("doc").alias("rep"), F.col("t").alias("_t"), "text")
-        blocks = located.join(texts, "rep").filter("t = _t").select(
-            "h", "rep", "pos", left.alias("off"), F.substring(F.col("text"), F.col("pos") - left + 1, left + F.lit(gram + margin)).alias("block"))
-        blocks = blocks.withColumn("c", F.xxhash64("block", "off"))
-        self.blocks = cut(blocks.distinct())
-
-    def _compared(self) -> DataFrame:
-        """(h, ca, cb, l, r): pairs of distinct blocks of one anchor whose factor is long enough."""
-        classes = self.blocks.groupBy("h", "c").agg(F.min("block").alias("block"), F.min("off").alias("off"))
-        a, b = (classes.select("h", *[F.col(x).alias(f"{x}{s}") for x in ("c", "block", "off")]) for s in "ab")
-        pairs = a.join(b, "h").filter("ca < cb")
-        length, gram = self.length, self.gram
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                h, ca, cb, ba, bb, oa, ob = (c.to_pylist() for c in batch.columns)
-                out = []
-                for i in range(batch.num_rows):
-                    left, right = factor(ba[i], oa[i], bb[i], ob[i], gram)
-                    if left + right + gram >= length and left >= 0:
-                        out.append((h[i], ca[i], cb[i], left, right))
-                cols = list(zip(*out, strict=True)) if out else [[]] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(),) * 3 + (pa.int32(),) * 2, strict=True)], names=["h", "ca", "cb", "l", "r"])
-
-        return pairs.select("h", "ca", "cb", "blocka", "blockb", "offa", "offb").mapInArrow(run, "h bigint, ca bigint, cb bigint, l int, r int")
-
-    def links(self) -> DataFrame:
-        """(rep_a, rep_b), rep_a < rep_b: pairs of different texts, each named by its least document."""
-        long_enough = self.blocks.filter(F.length("block") >= self.length).select("h", "c", "rep")
-        held = self.blocks.select("h", "c", "rep")
-        same = long_enough.select("h", "c", F.col("rep").alias("x")).join(long_enough.select("h", "c", F.col("rep").alias("y")), ["h", "c"]).filter("x < y")
-        other = self._compared().join(held.select("h", F.col("c").alias("ca"), F.col("rep").alias("x")), ["h", "ca"]).join(held.select("h", F.col("c").alias("cb"), F.col("rep").alias("y")), ["h", "cb"]).filter("x <> y")
-        both = same.select("x", "y").unionByName(other.select("x", "y"))
-        return both.select(F.least("x", "y").alias("rep_a"), F.greatest("x", "y").alias("rep_b")).distinct()
+        start, size = F.col("pos") - F.col("hi"), F.col("hi") - F.col("lo") + length
+        located = kept.join(copies, ["t", "n"]).join(texts, "rep").filter("t = _t").select("h", "rep", "pos", "lo", "hi", F.substring(F.col("text"), start + 1, size).alias("block"))
+        #: (h, c, rep, pos, lo, hi, block): the reference blocks; c names the class of equal ones.
+        self.blocks = cut(located.withColumn("c", F.xxhash64("block", "lo", "hi")).distinct())
+
+    def windows(self) -> DataFrame:
+        """(h, c, o, key): the windows of each class whose bin several texts share; o is the distance of the boundary from the anchor."""
+        classes = self.blocks.groupBy("h", "c").agg(F.min("rep").alias("least"), F.max("rep").alias("most"), F.first("lo").alias("lo"), F.first("hi").alias("hi"), F.first("block").alias("block"))
+        bins = classes.withColumn("b", F.explode(F.sequence(F.floor(F.col("lo") / BIN).cast("int"), F.floor(F.col("hi") / BIN).cast("int"))))
+        common = F.substring(F.col("block"), F.col("hi") - F.col("b") * BIN + 1, F.lit(self.length - BIN + 1))
+        bins = bins.withColumn("k", F.xxhash64(common))
+        several = bins.groupBy("h", "b", "k").agg(F.min("least").alias("least"), F.max("most").alias("most")).filter("least <> most").select("h", "b", "k")
+        some = bins.withColumn("salt", _salt("c")).join(_salted(several), ["h", "b", "k", "salt"], "left_semi")
+        each = some.withColumn("o", F.explode(F.sequence(F.greatest(F.col("lo").cast("int"), F.col("b") * BIN), F.least(F.col("hi").cast("int"), F.col("b") * BIN + BIN - 1))))
+        return each.select("h", "c", "o", F.xxhash64(F.substring(F.col("block"), F.col("hi") - F.col("o") + 1, F.lit(self.length))).alias("key"))
+
+    def index(self) -> DataFrame:
+        """(h, o, key, low, high, n, sign): the windows that stand in more than one text, with the least and the greatest place and a digest of the texts."""
+        held = self.blocks.groupBy("h", "c").agg(F.min(F.struct("rep", "pos")).alias("low"), F.max(F.struct("rep", "pos")).alias("high"), F.count("*").alias("n"), *[F.sum(F.xxhash64("rep", F.lit(i)).cast("decimal(20,0)")).alias(f"s{i}") for i in (1, 2)])
+        joined = self.windows().join(held, ["h", "c"])
+        return joined.groupBy("h", "o", "key").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("n"), F.struct(F.sum("n"), F.sum("s1"), F.sum("s2")).alias("sign")).filter("low.rep <> high.rep")
+
+    def places(self, wanted: DataFrame) -> DataFrame:
+        """``wanted`` (h, o, key, ...) with the (rep, s) of every place where such a window starts."""
+        classes = self.windows().withColumn("salt", _salt("c")).join(_salted(wanted), ["h", "o", "key", "salt"]).drop("salt", "key")
+        return classes.join(self.blocks.select("h", "c", "rep", "pos"), ["h", "c"]).withColumn("s", F.col("pos") - F.col("o"))
+
+    def sets(self) -> DataFrame:
+        """(g, rep): the different sets of texts that share a window, each once."""
+        chosen = self.index().groupBy("sign").agg(F.min(F.struct("h", "o", "key")).alias("w")).select("w.*", F.xxhash64("sign").alias("g"))
+        return self.places(chosen).select("g", "rep").distinct()
 
     def membership(self) -> DataFrame:
         """(doc, rep): every document that is long enough with the least document of the same text."""
         return self.members.join(self.members.groupBy("t", "n").agg(F.min("doc").alias("rep")), ["t", "n"]).select("doc", "rep")
 
+    def links(self) -> DataFrame:
+        """(rep_a, rep_b), rep_a < rep_b: pairs of different texts, each named by its least document."""
+        sets = cut(self.sets())
+        a, b = sets.select("g", F.col("rep").alias("rep_a"), _salt("rep")), _salted(sets.select("g", F.col("rep").alias("rep_b")))
+        return a.join(b, ["g", "salt"]).filter("rep_a < rep_b").select("rep_a", "rep_b").distinct()
+
     def found(self) -> DataFrame:
         """(doc_id_a, doc_id_b), a < b: every pair of documents that share a span."""
         members = self.membership()
         ma, mb = members.select(F.col("doc").alias("da"), F.col("rep").alias("rep_a")), members.select(F.col("doc").alias("db"), F.col("rep").alias("rep_b"))
         across = self.links().join(ma, "rep_a").join(mb, "rep_b").select("da", "db")
-        within = members.select("rep", F.col("doc").alias("da")).join(members.select("rep", F.col("doc").alias("db")), "rep").filter("da < db").select("da", "db")
-        both = across.unionByName(within).filter("da <> db")
-        return both.select(F.least("da", "db").alias("doc_id_a"), F.greatest("da", "db").alias("doc_id_b")).distinct()
+        copies = members.withColumn("salt", _salt("doc")).withColumnRenamed("doc", "da")
+        within = copies.join(_salted(members.withColumnRenamed("doc", "db")), ["rep", "salt"]).filter("da < db").select("da", "db")
+        return across.unionByName(within).filter("da <> db").select(F.least("da", "db").alias("doc_id_a"), F.greatest("da", "db").alias("doc_id_b")).distinct()
+
+    def factors(self) -> DataFrame:
+        """(rep, start, size, ref, ref_start): the parse of every text with a shared window.
+
+        ``ref`` is the text the factor was found in and ``ref_start`` its place there.
+        """
+        index = self.index().select("h", "o", "key", "low", "high")
+        at = self.places(index)
+        ref = F.when(F.col("rep") == F.col("low.rep"), F.col("high")).otherwise(F.col("low"))
+        windows = at.select("rep", "s", ref["rep"].alias("ref"), (ref["pos"] - F.col("o")).alias("r")).groupBy("rep", "s").agg(F.min(F.struct("ref", "r")).alias("w")).select("rep", "s", "w.*")
+        # Windows that follow each other in both texts are one factor: s - rank is constant along it.
+        runs = windows.withColumn("shift", F.col("s") - F.col("r"))
+        order = Window.partitionBy("rep", "ref", "shift").orderBy("s")
+        runs = runs.withColumn("island", F.col("s") - F.row_number().over(order)).groupBy("rep", "ref", "shift", "island").agg(F.min("s").alias("start"), F.max("s").alias("last"))
+        return runs.select("rep", "start", (F.col("last") - F.col("start") + self.length).alias("size"), "ref", (F.col("start") - F.col("shift")).alias("ref_start"))
 
     def coverage(self) -> DataFrame:
-        """(doc_id, class_id, n_links, shared_chars, n_chars): per document how much of it stands in some other document."""
-        at = self.blocks.select("h", "c", "rep", (F.col("pos") - F.col("off")).alias("from"), "pos", F.length("block").alias("size"))
-        crowd = at.groupBy("h", "c").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("lo <> hi").select("h", "c")
-        whole = at.filter(F.col("size") >= self.length).join(crowd, ["h", "c"], "left_semi").select("rep", F.col("from").alias("s"), (F.col("from") + F.col("size")).alias("e"))
-        compared = self._compared()
-        sides = compared.select("h", F.col("ca").alias("c"), "l", "r").unionByName(compared.select("h", F.col("cb").alias("c"), "l", "r")).distinct()
-        parts = at.join(sides, ["h", "c"]).select("rep", (F.col("pos") - F.col("l")).alias("s"), (F.col("pos") + self.gram + F.col("r")).alias("e"))
-        spans = whole.unionByName(parts).distinct().groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias("spans"))
-        start = F.struct(F.lit(0).cast("bigint").alias("sum"), F.lit(0).alias("end"))
-        merged = F.aggregate("spans", start, lambda x, y: F.struct((x["sum"] + F.greatest(F.lit(0), y["e"] - F.greatest(y["s"], x["end"]))).alias("sum"), F.greatest(x["end"], y["e"]).alias("end")), lambda x: x["sum"])
-        covered = spans.select("rep", merged.alias("shared"))
-        links = self.links()
-        counts = links.select(F.col("rep_a").alias("rep")).unionByName(links.select(F.col("rep_b").alias("rep"))).groupBy("rep").agg(F.count("*").alias("links"))
-        size = self.members.groupBy("t", "n").agg(F.min("doc").alias("rep"), F.count("*").alias("copies"))
-        rows = self.members.join(size, ["t", "n"]).join(covered, "rep", "left").join(counts, "rep", "left")
-        n_links = F.coalesce("links", F.lit(0)) + F.when(F.col("copies") > 1, 1).otherwise(0)
-        chars = F.when(F.col("copies") > 1, F.col("n").cast("bigint")).otherwise(F.coalesce("shared", F.lit(0).cast("bigint")))
-        return rows.select(F.col("doc").alias("doc_id"), F.col("rep").alias("class_id"), n_links.cast("bigint").alias("n_links"), chars.alias("shared_chars"), F.col("n").cast("bigint").alias("n_chars")).filter("n_links > 0")
+        """(doc_id, class_id, n_copies, n_factors, n_refs, shared_chars, n_chars): per document how much of it stands in some other document.
+
+        ``class_id`` is the least document of the same text, ``n_refs`` the number of texts its factors were found in.
+        """
+        factors = self.factors()
+        spans = factors.groupBy("rep").agg(F.array_sort(F.collect_list(F.struct(F.col("start").alias("s"), (F.col("start") + F.col("size")).alias("e")))).alias("spans"), F.count("*").alias("n_factors"), F.count_distinct("ref").alias("n_refs"))
+        begin = F.struct(F.lit(0).cast("bigint").alias("sum"), F.lit(0).alias("end"))
+        merged = F.aggregate("spans", begin, lambda x, y: F.struct((x["sum"] + F.greatest(F.lit(0), y["e"] - F.greatest(y["s"], x["end"]))).alias("sum"), F.greatest(x["end"], y["e"]).alias("end")), lambda x: x["sum"])
+        size = self.members.groupBy("t", "n").agg(F.min("doc").alias("rep"), F.count("*").alias("n_copies"))
+        rows = self.members.join(size, ["t", "n"]).join(spans.select("rep", "n_factors", "n_refs", merged.alias("shared")), "rep", "left")
+        chars = F.when(F.col("n_copies") > 1, F.col("n").cast("bigint")).otherwise(F.coalesce("shared", F.lit(0).cast("bigint")))
+        zero = F.lit(0).cast("bigint")
+        return rows.select(F.col("doc").alias("doc_id"), F.col("rep").alias("class_id"), "n_copies", F.coalesce("n_factors", zero).alias("n_factors"), F.coalesce("n_refs", zero).alias("n_refs"), chars.alias("shared_chars"), F.col("n").cast("bigint").alias("n_chars")).filter("shared_chars > 0")
 
 
 def found(docs: DataFrame) -> DataFrame:

@@ -175,6 +175,29 @@ def test_spans_against_brute_force(spark):
     assert spans.found(df.limit(0)).count() == 0
 
 
+def test_a_passage_in_ever_new_surroundings_costs_no_pairs(spark):
+    """A passage below the length in many texts is indexed once per text; no window of it is shared."""
+    line = "".join(RNG.choice("abcdefgh") for _ in range(290))
+    make = lambda n: spark.createDataFrame([(i, f"{RNG.random()}" * 12 + line + f"{RNG.random()}" * 12) for i in range(n)], "doc_id bigint, text string")
+    sizes = []
+    for n in (200, 800):
+        one = spans.Spans(make(n))
+        assert one.found().count() == 0 and one.coverage().count() == 0
+        sizes.append(one.windows().count())
+    assert sizes[1] <= 5 * max(sizes[0], 1)
+
+
+def test_factors_point_to_equal_text(spark):
+    docs = [(i, prose(30) + "|" + line + "|" + prose(30)) for i, line in enumerate([prose(90), *([prose(80)] * 5), prose(90)])]
+    docs += [(9, docs[0][1][20:900] + "//" + docs[3][1])]
+    texts = dict(docs)
+    got = spans.Spans(spark.createDataFrame(docs, "doc_id bigint, text string")).factors().collect()
+    assert got
+    for r in got:
+        mine, there = texts[r.rep][r.start : r.start + r["size"]], texts[r.ref][r.ref_start : r.ref_start + r["size"]]
+        assert mine == there and len(mine) >= 300 and r.rep != r.ref
+
+
 # ---- products --------------------------------------------------------------------------------------------------
 
 ITEM = "item_id bigint, title string, brand string, features array<string>, code string, names string"
