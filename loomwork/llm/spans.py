@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from loomwork.plans.lineage import cut
 
-LENGTH, GRAM, BIN, SALTS = 300, 200, 25, 16
+LENGTH, GRAM, BIN, SALTS = 300, 150, 25, 16
 BASE = 0x9E3779B97F4A7C15
 BATCH_CHARS = 1_000_000
 
@@ -106,29 +106,35 @@ class Anchors:
 
 
 def anchors(texts: DataFrame, length: int, gram: int) -> DataFrame:
-    """(h, t, n, pos, lo, hi) for texts (t, n, text): the windows that the anchor at ``pos`` owns start at pos - hi to pos - lo."""
-    names = ["h", "t", "n", "pos", "lo", "hi"]
+    """(h, t, at) for texts (t, text): the windows that the anchor at pos owns start at pos - hi to pos - lo; ``at`` packs the three (see ``unpacked``)."""
+    names, base = ["h", "t", "at"], length - gram + 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = Anchors(length, gram)
 
-        def flush(rows: list[tuple[int, int, str]]) -> pa.RecordBatch:
-            owner, h, pos, lo, hi = tool.of([r[2] for r in rows])
-            t, n = np.array([r[0] for r in rows], dtype=np.int64), np.array([r[1] for r in rows], dtype=np.int32)
-            return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(t[owner]), pa.array(n[owner]), pa.array(pos.astype(np.int32)), pa.array(lo.astype(np.int16)), pa.array(hi.astype(np.int16))], names=names)
+        def flush(rows: list[tuple[int, str]]) -> pa.RecordBatch:
+            owner, h, pos, lo, hi = tool.of([r[1] for r in rows])
+            t = np.array([r[0] for r in rows], dtype=np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(t[owner]), pa.array((pos * base + lo) * base + hi)], names=names)
 
         rows, size = [], 0
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 rows.append(row)
-                size += len(row[2])
+                size += len(row[1])
                 if size > BATCH_CHARS:
                     yield flush(rows)
                     rows, size = [], 0
         if rows:
             yield flush(rows)
 
-    return texts.mapInArrow(run, "h bigint, t bigint, n int, pos int, lo smallint, hi smallint")
+    return texts.mapInArrow(run, "h bigint, t bigint, at bigint")
+
+
+def unpacked(df: DataFrame, length: int, gram: int) -> DataFrame:
+    base = F.lit(length - gram + 2)
+    place = F.floor(F.col("at") / (base * base))
+    return df.select("*", place.cast("int").alias("pos"), F.pmod(F.floor(F.col("at") / base), base).cast("int").alias("lo"), F.pmod("at", base).cast("int").alias("hi")).drop("at")
 
 
 def _salted(df: DataFrame) -> DataFrame:
@@ -151,40 +157,48 @@ class Spans:
         base = base.select("doc", F.xxhash64("text").alias("t"), F.length("text").alias("n"), "text").filter(F.col("n") >= length)
         self.members = base.select("doc", "t", "n").distinct()
         copies = self.members.groupBy("t", "n").agg(F.min("doc").alias("rep"))
-        found = anchors(base.select("t", "n", "text"), length, gram)
+        found = anchors(base.select("t", "text"), length, gram)
         shared = found.groupBy("h").agg(F.min("t").alias("least"), F.max("t").alias("most")).filter("least <> most").select("h")
         kept = found.withColumn("salt", _salt("t")).join(_salted(shared), ["h", "salt"], "left_semi").drop("salt").distinct()
         texts = base.select(F.col("doc").alias("rep"), F.col("t").alias("_t"), "text")
         start, size = F.col("pos") - F.col("hi"), F.col("hi") - F.col("lo") + length
-        located = kept.join(copies, ["t", "n"]).join(texts, "rep").filter("t = _t").select("h", "rep", "pos", "lo", "hi", F.substring(F.col("text"), start + 1, size).alias("block"))
+        located = unpacked(kept, length, gram).join(copies.select("t", "rep"), "t").join(texts, "rep").filter("t = _t").select("h", "rep", "pos", "lo", "hi", F.substring(F.col("text"), start + 1, size).alias("block"))
         #: (h, c, rep, pos, lo, hi, block): the reference blocks; c names the class of equal ones.
         self.blocks = cut(located.withColumn("c", F.xxhash64("block", "lo", "hi")).distinct())
+        self.windows = cut(self._windows())
 
-    def windows(self) -> DataFrame:
-        """(h, c, o, key): the windows of each class whose bin several texts share; o is the distance of the boundary from the anchor."""
+    def _windows(self) -> DataFrame:
+        """(h, c, o, w, key): the windows of each class whose bin several texts share; o is the distance of the boundary from the anchor.
+
+        Where all texts of a bin agree in every window of it, one row stands for the w windows o to o + w - 1.
+        """
         classes = self.blocks.groupBy("h", "c").agg(F.min("rep").alias("least"), F.max("rep").alias("most"), F.first("lo").alias("lo"), F.first("hi").alias("hi"), F.first("block").alias("block"))
         bins = classes.withColumn("b", F.explode(F.sequence(F.floor(F.col("lo") / BIN).cast("int"), F.floor(F.col("hi") / BIN).cast("int"))))
-        common = F.substring(F.col("block"), F.col("hi") - F.col("b") * BIN + 1, F.lit(self.length - BIN + 1))
-        bins = bins.withColumn("k", F.xxhash64(common))
-        several = bins.groupBy("h", "b", "k").agg(F.min("least").alias("least"), F.max("most").alias("most")).filter("least <> most").select("h", "b", "k")
-        some = bins.withColumn("salt", _salt("c")).join(_salted(several), ["h", "b", "k", "salt"], "left_semi")
-        each = some.withColumn("o", F.explode(F.sequence(F.greatest(F.col("lo").cast("int"), F.col("b") * BIN), F.least(F.col("hi").cast("int"), F.col("b") * BIN + BIN - 1))))
-        return each.select("h", "c", "o", F.xxhash64(F.substring(F.col("block"), F.col("hi") - F.col("o") + 1, F.lit(self.length))).alias("key"))
+        bins = bins.select("*", F.greatest(F.col("lo"), F.col("b") * BIN).alias("from"), F.least(F.col("hi"), F.col("b") * BIN + BIN - 1).alias("to"))
+        part = lambda o, size: F.substring(F.col("block"), F.col("hi") - o + 1, size)
+        whole = F.xxhash64("from", "to", part(F.col("to"), F.col("to") - F.col("from") + self.length))
+        bins = bins.select("h", "c", "least", "most", "b", "from", "to", F.xxhash64(part(F.col("b") * BIN, F.lit(self.length - BIN + 1))).alias("k"), whole.alias("whole"), part(F.col("to"), F.col("to") - F.col("from") + self.length).alias("text"))
+        several = bins.groupBy("h", "b", "k").agg(F.min("least").alias("least"), F.max("most").alias("most"), (F.min("whole") == F.max("whole")).alias("alike")).filter("least <> most").select("h", "b", "k", "alike")
+        some = bins.withColumn("salt", _salt("c")).join(_salted(several), ["h", "b", "k", "salt"])
+        each = some.withColumn("o", F.explode(F.when(F.col("alike"), F.array("from")).otherwise(F.sequence("from", "to"))))
+        wide = F.when(F.col("alike"), F.col("to") - F.col("from") + 1).otherwise(1)
+        key = F.when(F.col("alike"), F.col("whole")).otherwise(F.xxhash64(F.substring(F.col("text"), F.col("to") - F.col("o") + 1, F.lit(self.length))))
+        return each.select("h", "c", "o", wide.alias("w"), key.alias("key"))
 
     def index(self) -> DataFrame:
-        """(h, o, key, low, high, n, sign): the windows that stand in more than one text, with the least and the greatest place and a digest of the texts."""
+        """(h, o, w, key, low, high, sign): the windows that stand in more than one text, with the least and the greatest place and a digest of the texts."""
         held = self.blocks.groupBy("h", "c").agg(F.min(F.struct("rep", "pos")).alias("low"), F.max(F.struct("rep", "pos")).alias("high"), F.count("*").alias("n"), *[F.sum(F.xxhash64("rep", F.lit(i)).cast("decimal(20,0)")).alias(f"s{i}") for i in (1, 2)])
-        joined = self.windows().join(held, ["h", "c"])
-        return joined.groupBy("h", "o", "key").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("n"), F.struct(F.sum("n"), F.sum("s1"), F.sum("s2")).alias("sign")).filter("low.rep <> high.rep")
+        joined = self.windows.join(held, ["h", "c"])
+        return joined.groupBy("h", "o", "w", "key").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.struct(F.sum("n"), F.sum("s1"), F.sum("s2")).alias("sign")).filter("low.rep <> high.rep")
 
     def places(self, wanted: DataFrame) -> DataFrame:
-        """``wanted`` (h, o, key, ...) with the (rep, s) of every place where such a window starts."""
-        classes = self.windows().withColumn("salt", _salt("c")).join(_salted(wanted), ["h", "o", "key", "salt"]).drop("salt", "key")
-        return classes.join(self.blocks.select("h", "c", "rep", "pos"), ["h", "c"]).withColumn("s", F.col("pos") - F.col("o"))
+        """``wanted`` (h, o, w, key, ...) with the (rep, s) of every place where the first of such windows starts."""
+        classes = self.windows.withColumn("salt", _salt("c")).join(_salted(wanted), ["h", "o", "w", "key", "salt"]).drop("salt", "key")
+        return classes.join(self.blocks.select("h", "c", "rep", "pos"), ["h", "c"]).withColumn("s", F.col("pos") - F.col("o") - F.col("w") + 1)
 
     def sets(self) -> DataFrame:
         """(g, rep): the different sets of texts that share a window, each once."""
-        chosen = self.index().groupBy("sign").agg(F.min(F.struct("h", "o", "key")).alias("w")).select("w.*", F.xxhash64("sign").alias("g"))
+        chosen = self.index().groupBy("sign").agg(F.min(F.struct("h", "o", "w", "key")).alias("x")).select("x.*", F.xxhash64("sign").alias("g"))
         return self.places(chosen).select("g", "rep").distinct()
 
     def membership(self) -> DataFrame:
@@ -211,14 +225,13 @@ class Spans:
 
         ``ref`` is the text the factor was found in and ``ref_start`` its place there.
         """
-        index = self.index().select("h", "o", "key", "low", "high")
-        at = self.places(index)
+        at = self.places(self.index().select("h", "o", "w", "key", "low", "high"))
         ref = F.when(F.col("rep") == F.col("low.rep"), F.col("high")).otherwise(F.col("low"))
-        windows = at.select("rep", "s", ref["rep"].alias("ref"), (ref["pos"] - F.col("o")).alias("r")).groupBy("rep", "s").agg(F.min(F.struct("ref", "r")).alias("w")).select("rep", "s", "w.*")
-        # Windows that follow each other in both texts are one factor: s - rank is constant along it.
+        windows = at.select("rep", "s", "w", ref["rep"].alias("ref"), (ref["pos"] - F.col("o") - F.col("w") + 1).alias("r")).distinct()
+        # Windows that follow each other in both texts are one factor: s less the windows before it is constant along it.
         runs = windows.withColumn("shift", F.col("s") - F.col("r"))
         order = Window.partitionBy("rep", "ref", "shift").orderBy("s")
-        runs = runs.withColumn("island", F.col("s") - F.row_number().over(order)).groupBy("rep", "ref", "shift", "island").agg(F.min("s").alias("start"), F.max("s").alias("last"))
+        runs = runs.withColumn("island", F.col("s") + F.col("w") - F.sum("w").over(order)).groupBy("rep", "ref", "shift", "island").agg(F.min("s").alias("start"), F.max(F.col("s") + F.col("w") - 1).alias("last"))
         return runs.select("rep", "start", (F.col("last") - F.col("start") + self.length).alias("size"), "ref", (F.col("start") - F.col("shift")).alias("ref_start"))
 
     def coverage(self) -> DataFrame:
