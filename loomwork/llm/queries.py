@@ -9,8 +9,8 @@ from loomwork.sources import table
 
 def _page_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     return (
-        table(spark, sf_dir, "scraped_content", "content_id", "content"),
-        table(spark, sf_dir, "broker_results", "result_id", "full_text"),
+        table(spark, sf_dir, "scraped_content", "content_id", "content", "url"),
+        table(spark, sf_dir, "broker_results", "result_id", "full_text", "detail_url"),
         table(spark, sf_dir, "page_data", "page_id", "title", "url"),
     )
 

@@ -239,7 +239,7 @@ def test_residue(spark):
         (5, "A 503 error lasted 486 minutes on the ferry site, said Plooro, but bookings were safe."), (6, "lorem ipsum dolor sit amet consectetur elit"), (7, None), (8, "  "), (9, prose(50_000)), (10, "null, null null"), (10, "null, null null"),
         (11, "Printers once set lorem ipsum for 674 proofs a day; Hoarsk still keeps the old sheets."), (12, "Try again later.\nHTTP 502"), (13, "Home | News | Contact"),
     ] + [(20 + i, f"{n} keeps $home$ as the name of the folder") for i, n in enumerate("Ann Bob Cid Dan Eve Flo".split())]
-    df = spark.createDataFrame(pages, "rec_id bigint, text string")
+    df = spark.createDataFrame([(*p, None) for p in pages], "rec_id bigint, text string, host string")
     got = {r.rec_id for r in residue.residue({"t": df}).collect()}
     assert got == {1, 2, 3, 6, 10, 12}
     assert residue.residue({"t": df.limit(0)}).count() == 0
@@ -250,11 +250,33 @@ def test_residue(spark):
 
 def test_residue_of_one_template_is_found_at_every_size(spark):
     names = "Ann Bob Cid Dan Eve Flo Gus Hal Ida Jan".split()
-    for n in (4, 6, 10):
-        df = spark.createDataFrame([(i, f"{x}, your order {{{{order_id}}}} has shipped") for i, x in enumerate(names[:n])], "rec_id bigint, text string")
+    for n in (4, 6, 10_000):
+        df = spark.createDataFrame([(i, f"Dear {{{{ first_name }}}}, {names[i % 10]} {i} has sent you a message from Dale.", f"h{i % 7}") for i in range(n)], "rec_id bigint, text string, host string")
         assert {r.rec_id for r in residue.residue({"t": df}).collect()} == set(range(n))
 
 
+def test_residue_aligns_records_of_one_template(spark):
+    """What reads like a remark on a mark is residue if other records fill or leave out the slot; else it is not."""
+    lines = ["The clerk writes {{ name }} on the form 3.", "The clerk writes Ann on the form 12.", "The tutor writes {{ name }} where the greeting goes."]
+    df = spark.createDataFrame([(i, x, "h") for i, x in enumerate(lines)], "rec_id bigint, text string, host string")
+    assert {r.rec_id for r in residue.residue({"t": df}).collect()} == {0}
+
+
+def test_residue_learns_error_templates_from_repetition(spark):
+    odd = "Whoopsie 17, the gremlins broke this corner and our crew is sorry"
+    pages = [(i, odd.replace("17", str(i)), f"host{i}.example") for i in range(4)] + [(10 + i, "Whoopsie, the lamp broke and Ann is sorry", "one.example") for i in range(4)] + [(20, prose(40), "host1.example")]
+    df = spark.createDataFrame(pages, "rec_id bigint, text string, host string")
+    assert {r.rec_id for r in residue.residue({"t": df}).collect()} == {0, 1, 2, 3}
+
+
+@pytest.mark.parametrize(("text", "bad"), [
+    ("Oops! That page can't be found.", True), ("Sorry, something went wrong on our side.", True), ("Nous sommes désolés, cette page n'existe plus.", True), ("Error 503 Service Unavailable\nPlease try again later\n" * 4, True), ("[object  Object] ", True),
+    ("Buy $INSERT DESCRIPTION HERE$ online", True), ("Home\nContact\nLog in", False), ("We went home because it was late", False), ("Sorry seems to be the hardest word", False), (None, False), ("", False),
+])
+def test_residue_of_unlisted_messages(text, bad):
+    assert bool(residue.judge(text)) is bad
+
+
 def test_residue_evidence_is_that_of_the_sentence():
     assert residue.judge("The page was printed in May. Dear {{ user.first_name }}, the environment of the house has variable light.") == "slot"
     assert residue.judge("The monitor is 15\" wide. Ask {{ agent_phone }} for more.") == "slot"
