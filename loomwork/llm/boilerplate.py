@@ -6,12 +6,16 @@ below the zone node of the line before it, and each zone node has the line's obs
 Parent-child potentials connect zones, zone-form potentials the leaves. Messages pass upward and downward once; the
 marginals say for each line how likely it lies in the body. All pages of a batch are computed at once.
 
-A line's form is what it looks like by itself (``form_of``): prose, list item, headline, short label, bar of links,
-and the standing phrases of notices, prompts, bylines, legal lines and footers in four languages.
+A line's form is what it looks like by itself (``form_of``): its number of words, its last mark, leading dashes and bars
+between its parts give prose, item, headline, point and short label; cues of notices, prompts, bylines, legal lines and
+footers in four languages give forms of their own. No form alone decides: a headline or a short label is body where its
+neighbours are, and so is a line that only speaks of cookies; a link headline is told by the lead above it or by
+standing among others with no text below.
 
-The potentials are trained on labelled pages: the lines of a bounded sample of pages (``max_pages``, chosen by a
-seeded hash) whose form settles their zone are the labels, the other lines count with their expected zones; the
-sample is the only thing that reaches the driver. Prior counts keep rare transitions possible.
+The potentials are trained on labelled pages: the lines of a bounded sample of pages (``max_pages`` pages of less than
+``max_chars`` characters, chosen by a seeded hash) whose form settles their zone are the labels, the other lines count
+with their expected zones; the sample is the only thing that reaches the driver. Prior counts keep rare transitions
+possible.
 
 Lines are split at '\\n' and numbered from 1; blank lines are numbered but never reported. Null and blank texts and
 records that consist only of an error, script or filler message have no rows. Repeated rows of one id count once.
@@ -28,18 +32,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.llm.residue import is_filler, is_message, words_of
+from loomwork.llm.residue import is_filler, is_message_page, words_of
 
 MAX_PAGES = 1500
 SEED = 11
 ZONES = ("top", "body", "inset", "lead", "side", "foot")
-FORMS = ("title", "headline", "prose", "item", "short", "bar", "crumb", "cookie", "byline", "prompt", "ad", "lead", "legal", "foot")
+FORMS = ("title", "headline", "prose", "item", "short", "bar", "crumb", "cookie", "byline", "prompt", "ad", "lead", "legal", "foot", "point")
 TOP, BODY, INSET, HEADING, SIDE, FOOT = range(6)
-T, H, P, I, S, BAR, CRUMB, COOKIE, BY, PROMPT, AD, LEAD, LEGAL, END = range(14)
+T, H, P, I, S, BAR, CRUMB, COOKIE, BY, PROMPT, AD, LEAD, LEGAL, END, POINT = range(15)
 
 # Standing phrases, tried in this order against a line in lower case with plain blanks and digits as 9.
 PHRASES = [
-    (LEAD, r"(?:readers also viewed|you may also like|more from this section|trending now|related(?: stories| articles)?|most read|popular now|read next|mehr zum thema|meistgelesen|das könnte sie auch interessieren|auch interessant"
+    (LEAD, r"(?:readers also (?:viewed|liked|read)|also (?:viewed|liked|read)|you may also like|more from this section|trending now|related(?: stories| articles)?|most read|popular now|read next|recommended(?: for you)?|see also|more stories|around the web|mehr zum thema|meistgelesen|empfohlen|relacionado|recomendados?|à voir aussi|das könnte sie auch interessieren|auch interessant"
            r"|vous aimerez aussi|à lire aussi|les plus lus|sur le même sujet|también te puede gustar|lo más leído|más noticias|te puede interesar|weitere artikel)"),
     (AD, r"(?:advertisement|advertising|ad|sponsored(?: content)?|anzeige|werbung|publicité|publicidad|anuncio|paid partnership|promoted)"),
     (BY, r"by (?!browsing)[\w' -]+(?:, staff writer| desk)?|by the [\w' -]+ desk|words and pictures: .+|reporting by .+; editing by .+|par [\w' -]+(?:, rédaction de .+)?|por [\w' -]+(?:, redacción de .+)?|von [\w' -]+, .+|von [\w' -]+"
@@ -58,7 +62,8 @@ PHRASES = [
              r"|privatsphäre ist uns wichtig|vie privée compte|valoramos su privacidad|privacy matters|measure our audience|partners store information"),
 ]
 COMPILED = [(k, re.compile(p if k == COOKIE else rf"(?:{p})(?: viewed 9 times)?")) for k, p in PHRASES]
-SENTENCE = re.compile(r"[.!?…][\"”'»)]*(?: |$)")
+#: Words of a line without a full stop that may be a headline; shorter ones are labels, longer ones prose.
+LEAST_HEADLINE, MOST_HEADLINE = 5, 12
 
 
 def flat(line: str) -> str:
@@ -66,7 +71,7 @@ def flat(line: str) -> str:
     if "&" in line:
         line = html.unescape(line)
     out = re.sub(r"[\s\u00a0]+", " ", unicodedata.normalize("NFKC", line)).strip().lower()
-    out = re.sub(r"\d+", "9", out).replace("’", "'")
+    out = re.sub(r"\d+", "9", out).replace("’", "'").replace(" :", ":")
     return re.sub(r"(?: !)?(?: viewed 9 times)?$", "", out)
 
 
@@ -87,23 +92,11 @@ def form_of(line: str) -> int:
         return BAR
     if " > " in plain and plain.count(" > ") >= 2:
         return CRUMB
-    if dash and words >= 5:
-        return I
-    if words >= 8 and (bare[-1:] in ".!?" or len(plain) > 90) and not HEADLINE.fullmatch(plain):
+    if dash:
+        return I if words >= 5 else POINT
+    if bare[-1:] in ".!?…" and words >= 6 or words > MOST_HEADLINE:
         return P
-    if words >= 4 and HEADLINE.fullmatch(plain):
-        return H
-    if words >= 6:
-        return P if words >= 11 else H
-    return S
-
-
-# The shapes of headlines.
-HEADLINE = re.compile(
-    r"[\w'-]+ ?: [\w'-]+ [\w'-]+ and 9 questions for [\w'-]+|[\w'-]+ [\w'-]+ near [\w'-]+ [\w'-]+ by [\w'-]+|why the [\w'-]+ [\w'-]+ was [\w'-]+,? by [\w'-]+|[\w'-]+ on the [\w'-]+ [\w'-]+ of [\w'-]+|what [\w'-]+ found at 9 [\w'-]+,? [\w'-]+"
-    r"|[\w'-]+ über [\w'-]+ in [\w'-]+,? teil 9|[\w'-]+ ?: [\w'-]+ ideen von [\w'-]+,? [\w'-]+|[\w'-]+ et (?:le|la|l') ?[\w'-]+ de [\w'-]+,? partie 9|[\w'-]+ ?: (?:le|la|l') ?[\w'-]+ [\w'-]+ de [\w'-]+,? [\w'-]+"
-    r"|[\w'-]+ y (?:el|la) [\w'-]+ de [\w'-]+,? parte 9|[\w'-]+ ?: (?:el|la) [\w'-]+ [\w'-]+ de [\w'-]+,? [\w'-]+|[\w'-]+ ?: 9-bed house at 9 .+|[\w'-]+ home with 9 beds? ?-? ?9 .+|for sale by owner in [\w'-]+,? 9 bedrooms?,? 9 .+"
-)
+    return H if words >= LEAST_HEADLINE else S
 
 
 # ---- the model ---------------------------------------------------------------------------------------------------
@@ -114,7 +107,7 @@ SETTLED = {P: BODY, I: BODY, CRUMB: TOP, PROMPT: INSET, AD: INSET, BY: INSET, LE
 #: Prior counts of zone -> zone and zone -> form; they keep what the sample never shows possible but rare.
 STEPS = np.array([
     [60.0, 30.0, 8.0, 0.05, 0.01, 0.2],
-    [0.05, 60.0, 25.0, 8.0, 0.02, 8.0],
+    [0.001, 60.0, 25.0, 8.0, 0.02, 8.0],
     [0.3, 40.0, 20.0, 4.0, 0.02, 8.0],
     [0.01, 0.1, 0.3, 0.1, 60.0, 0.3],
     [0.01, 0.1, 0.3, 0.3, 60.0, 25.0],
@@ -123,18 +116,18 @@ STEPS = np.array([
 START = np.array([60.0, 30.0, 5.0, 0.05, 0.02, 3.0])
 SHOWN = np.full((N_ZONES, N_FORMS), 0.02)
 for _zone, _forms in (
-    (TOP, {S: 60, BAR: 20, CRUMB: 20, COOKIE: 20, AD: 1, PROMPT: 1}),
-    (BODY, {T: 20, H: 20, P: 60, I: 20}),
+    (TOP, {S: 60, POINT: 10, BAR: 20, CRUMB: 20, COOKIE: 20, AD: 1, PROMPT: 1}),
+    (BODY, {T: 20, H: 20, P: 60, I: 20, S: 3, POINT: 8, COOKIE: 1}),
     (INSET, {BY: 30, PROMPT: 30, AD: 20, COOKIE: 0.3}),
-    (HEADING, {LEAD: 60, S: 0.5}),
-    (SIDE, {H: 60, T: 1}),
-    (FOOT, {LEGAL: 40, END: 40, BAR: 5, S: 3, PROMPT: 8, AD: 2, COOKIE: 2}),
+    (HEADING, {LEAD: 60, S: 4, H: 0.05}),
+    (SIDE, {H: 60, T: 1, S: 1, POINT: 3}),
+    (FOOT, {LEGAL: 40, END: 40, BAR: 5, S: 3, POINT: 1, PROMPT: 8, AD: 2, COOKIE: 2}),
 ):
     for _form, _count in _forms.items():
         SHOWN[_zone, _form] += _count
 #: Zones in which a line of this form is body.
 KEPT = np.zeros((N_ZONES, N_FORMS), dtype=bool)
-KEPT[BODY, [T, H, P, I]] = True
+KEPT[BODY, [T, H, P, I, S, POINT, COOKIE]] = True
 
 
 def marginals(forms: np.ndarray, lengths: np.ndarray, model: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -230,10 +223,8 @@ def observed(text: str, title: str | None, known: Forms) -> tuple[list[int], lis
 
 def is_case(text: str) -> bool:
     """Whether a text is a page, not just a message in a page's place."""
-    if len(text) > 2000:
-        return True
     lines = [x for x in text.split("\n") if x.strip()]
-    return len(lines) > 6 or not all(is_message(x) or is_filler(x) or words_of(x) == "object object" for x in lines)
+    return not all(words_of(x) == "object object" for x in lines) and not is_message_page(lines)
 
 
 SOURCES = {"page_data": ("page_id", "main_content"), "scraped_content": ("content_id", "content"), "broker_results": ("result_id", "full_text")}
@@ -251,11 +242,11 @@ def _pages(tables: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts).filter("rec_id is not null")
 
 
-def fit(pages: DataFrame, max_pages: int = 1500) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def fit(pages: DataFrame, max_pages: int = MAX_PAGES, max_chars: int = 20_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The model trained on about ``max_pages`` pages (twice as many at most), chosen by a seeded hash."""
     n = max(1, pages.count())
     h = F.shiftrightunsigned(F.xxhash64("src_table", "rec_id", F.lit(SEED)), 1)
-    sample = pages.filter(h < F.lit(min(2**63 - 1, int(max_pages / n * 2**63)))).filter(f"length(text) < {20_000}").limit(2 * max_pages)
+    sample = pages.filter(h < F.lit(min(2**63 - 1, int(max_pages / n * 2**63)))).filter(F.length("text") < max_chars).limit(2 * max_pages)
     known = Forms()
     return train([observed(r.text, r.title, known)[1] for r in sample.select("text", "title").collect() if is_case(r.text)])
 
@@ -273,7 +264,7 @@ def _zoned(rows: list[tuple], known: Forms, model: tuple) -> Iterator[tuple[list
         yield part, lengths, (zones * KEPT.T[np.maximum(forms, 0)]).sum(axis=2)[forms >= 0]
 
 
-def judged(tables: dict[str, DataFrame], max_pages: int = 1500) -> DataFrame:
+def judged(tables: dict[str, DataFrame], max_pages: int = MAX_PAGES) -> DataFrame:
     """(src_table, rec_id, line_no, p_body, is_body) of every line that is not blank."""
     pages = _pages(tables).filter("text is not null")
     model = fit(pages, max_pages)
@@ -295,7 +286,7 @@ def found(tables: dict[str, DataFrame]) -> DataFrame:
     return judged(tables).filter("not is_body").select("src_table", "rec_id", "line_no").distinct()
 
 
-def main_bodies(tables: dict[str, DataFrame], max_pages: int = 1500) -> DataFrame:
+def main_bodies(tables: dict[str, DataFrame], max_pages: int = MAX_PAGES) -> DataFrame:
     """(src_table, rec_id, n_lines, n_body, main_body): each page without the lines of ``found``; all pages come out.
 
     ``n_lines`` and ``n_body`` count lines that are not blank. A null text stays null, a mere message stays as it is.

@@ -312,6 +312,35 @@ def test_boilerplate_accuracy_on_held_out_pages(spark):
     assert sum(a == b for a, b in marks) / len(marks) > 0.98
 
 
+def other_page(k, r):
+    """A page whose furniture has none of the listed phrases, with short headings and lists in its body."""
+    sentence = lambda: f"{r.choice(WORDS).title()} walked to the {r.choice(WORDS)} with {r.randrange(2, 99)} friends, and nobody minded the {r.choice(WORDS)} weather on the way."
+    out = [(x, False) for x in ("Start", "Shop", "Team", "Stores", "Jobs")[: r.randrange(2, 6)]] + [(f"A {r.choice(WORDS)} walk past {r.choice(WORDS).title()} town {k}", True)]
+    for _ in range(r.randrange(2, 5)):
+        out += [(r.choice(["Method", "What to bring", "The way back"]), True)] * (r.random() < 0.4) + [(" ".join(sentence() for _ in range(r.randrange(1, 4))), True)]
+        out += [(f"- {r.randrange(2, 9)} {r.choice(WORDS)}", True) for _ in range(r.randrange(2, 4))] * (r.random() < 0.4)
+    if r.random() < 0.5:
+        out += [("Keep reading", False)] + [(f"{r.randrange(3, 20)} {w} ideas for a {r.choice(WORDS)} weekend", False) for w in r.sample(WORDS, r.randrange(2, 5))]
+    return out + [(x, False) for x in ("Imprint | Press | Data", "© Site 2024")]
+
+
+def test_boilerplate_accuracy_on_phrases_of_no_list(spark):
+    r = random.Random(8)
+    pages = {k: other_page(k, r) for k in range(300)}
+    df = spark.createDataFrame([(k, "\n".join(x for x, _ in p), None) for k, p in pages.items()], "page_id bigint, main_content string, title string")
+    got = {(x.rec_id, x.line_no): x.is_body for x in boilerplate.judged({"page_data": df}, max_pages=60).collect()}
+    marks = [(got[k, n], b) for k, p in pages.items() for n, (x, b) in enumerate(p, 1)]
+    right = sum(a == b for a, b in marks) / len(marks)
+    assert right > 0.95, right
+
+
+def test_boilerplate_keeps_a_recipe(spark):
+    lines = ["Home", "Recipes", "Contact us", "Grandmother's soda bread", "This bread takes an hour and needs no yeast, which makes it a friend of busy evenings.", "Ingredients", "- 450 g flour", "- 1 tsp salt", "Method",
+             "Heat the oven to 200 degrees and flour a tray.", "Bake the cookies beside it; our cookies policy is simple.", "Recommended for you", "Ten ways to save water this summer", "Five cheap dinners for a cold evening", "© 2024 The Kitchen"]
+    df = spark.createDataFrame([(1, "\n".join(lines), "Grandmother's soda bread")], "page_id bigint, main_content string, title string")
+    assert [r.line_no for r in boilerplate.found({"page_data": df}).orderBy("line_no").collect()] == [1, 2, 3, 12, 13, 14, 15]
+
+
 def test_sum_product_equals_enumeration():
     rng = np.random.default_rng(1)
     z, f = len(boilerplate.ZONES), len(boilerplate.FORMS)
