@@ -217,6 +217,36 @@ def test_products(spark):
     assert grouped(spark, []) == [] and grouped(spark, rows[5:7]) == []
 
 
+@pytest.mark.parametrize(("title", "code"), [
+    ("Bosch GSR 18V-55 cordless drill", "GSR18V55"), ("Dell XPS 13 laptop", "XPS13"), ("Canon EOS R6 body", "R6"), ("iPhone 15 black 128GB SSD", "IPHONE15"), ("LG 27GP850-B monitor 27 inch", "27GP850B"), ("Lenovo T14s notebook", "T14S"),
+    ("Sony WH-1000XM3 headphones black", "WH1000XM3"), ("Sony WH-1000XM4 headphones black", "WH1000XM4"), ("Noato GED-2820 Drill 24V", "GED2820"), ("Noato drill 24V 2 Ah", None), ("Water bottle 500 ml blue", None),
+])
+def test_codes_of_many_shapes(title, code):
+    got = products.parse(title, None, None)
+    assert (got[0] if got else None) == code
+
+
+def test_products_clusters_against_brute_force():
+    """Blocks with many classes: what windows and pivots give is what comparing every class with every pivot gives."""
+    r = random.Random(6)
+    for _ in range(20):
+        base = [w + "qr" for w in r.sample(WORDS, 4)]
+        def slip(w):
+            k = r.randrange(len(w))
+            return w[:k] + r.choice(["", "x", w[k] * 2]) + w[k + 1 :] if r.random() < 0.5 else w
+
+        names = {" ".join(sorted(slip(w) for w in r.sample(base, r.randrange(1, 4)))) for _ in range(60)}
+        rows = [(products.letters_key(n), n, r.randrange(1, 9), i) for i, n in enumerate(sorted(names))]
+        block, wide = products.Block(), products.Block()
+        for row in rows:
+            block.add(*row)
+            wide.add(*row)
+        got = sorted(block.clusters())
+        before, products.WINDOW = products.WINDOW, 10_000
+        assert sorted(wide.clusters()) == got
+        products.WINDOW = before
+
+
 def test_products_window_meets_partition_borders(spark):
     rows = [(i, f"Brando{'n' * (i % 2)} Serieso ABC{1000 + i // 4} drill 18V 2Ah", None, None) for i in range(400)]
     want = [(a, b) for k in range(0, 400, 4) for a, b in itertools.combinations(range(k, k + 4), 2)]
