@@ -48,7 +48,7 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_collapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return refine.collapsed(table(spark, sf_dir, "search_results"), "search_results")
+    return refine.collapsed({n: table(spark, sf_dir, n) for n in refine.FIELDS})
 
 
 def p6_records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,6 +64,10 @@ def p7_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.without(pages, lines.standing_lines(pages))
 
 
+def p7_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.templates(table(spark, sf_dir, "page_data", "page_id", "url", "main_content"))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.found(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "eval_items"))
 
@@ -97,7 +101,7 @@ def p10_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.Spans(table(spark, sf_dir, "documents", "doc_id", "text")).factors()
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_pages, p4_found, p4_groups, p5_found, p5_reasons, p6_found, p6_collapsed, p6_records, p7_found, p7_pages, p8_found, p8_leaks, p9_found, p9_shares, p9_selected, p10_found, p10_shared, p10_factors)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_pages, p4_found, p4_groups, p5_found, p5_reasons, p6_found, p6_collapsed, p6_records, p7_found, p7_pages, p7_templates, p8_found, p8_leaks, p9_found, p9_shares, p9_selected, p10_found, p10_shared, p10_factors)}
 
 _FOLD = "regexp_replace(lower({0}), '[^\\p{{L}}\\p{{N}}\\p{{M}}]+', '', 'g')"
 
@@ -150,12 +154,22 @@ ORACLES = {
   SELECT doc_id, rep AS class_id, n_copies, coalesce(n_factors, 0) AS n_factors, coalesce(n_refs, 0) AS n_refs, CASE WHEN n_copies > 1 THEN n ELSE chars END AS shared_chars, n AS n_chars
   FROM members LEFT JOIN sums USING (rep) LEFT JOIN chars USING (rep) WHERE n_copies > 1 OR chars > 0""",
     "p6_found": f"WITH keyed AS ({_P6_KEYS}), firsts AS (SELECT *, min(id) OVER (PARTITION BY src_table, a, b, c, d) AS first_id FROM keyed) SELECT DISTINCT src_table, first_id, id AS copy_id FROM firsts WHERE id <> first_id",
-    "p6_collapsed": f"WITH keyed AS ({_P6_KEYS}) SELECT min(id) AS hit_id, count(*) AS n_copies FROM keyed WHERE src_table = 'search_results' GROUP BY a, b, c, d",
+    "p6_collapsed": f"WITH keyed AS ({_P6_KEYS}) SELECT src_table, min(id) AS rec_id, count(*) AS n_copies FROM keyed GROUP BY src_table, a, b, c, d",
     "p7_found": f"{_P7_LINES} SELECT page_id, line_no FROM found",
     "p7_pages": f"""{_P7_LINES}
   SELECT p.page_id, count(f.line_no)::INT AS n_removed,
          CASE WHEN any_value(p.main_content) IS NULL THEN NULL ELSE coalesce(string_agg(l.line, chr(10) ORDER BY l.line_no) FILTER (WHERE f.line_no IS NULL AND l.line_no IS NOT NULL), '') END AS main_content
   FROM page_data p LEFT JOIN lines l ON l.page_id = p.page_id LEFT JOIN found f ON f.page_id = l.page_id AND f.line_no = l.line_no GROUP BY p.page_id""",
+    "p7_templates": """
+  WITH pages AS (SELECT page_id, nullif(regexp_replace(regexp_extract(lower(url), '^[a-z]+://([^/?#:]*)', 1), '^www\\.', ''), '') AS site, unnest(string_split(main_content, chr(10))) AS line FROM page_data),
+  worded AS (SELECT DISTINCT page_id, site, list_transform(string_split(lower(trim(regexp_replace(line, '[\\s\\p{Z}]+', ' ', 'g'))), ' '), lambda w: CASE WHEN regexp_matches(w, '\\p{Nd}') THEN '*' ELSE w END) AS words
+    FROM pages WHERE site IS NOT NULL AND NOT regexp_full_match(line, '[\\s\\p{Z}]*')),
+  opened AS (SELECT *, dense_rank() OVER (ORDER BY site, len(words), words[1:2]) AS node FROM worded),
+  wide AS (SELECT node FROM opened GROUP BY node HAVING count(DISTINCT page_id) >= 6),
+  places AS (SELECT node, unnest(range(1, len(words) + 1)) AS place, unnest(words) AS word FROM opened WHERE node IN (FROM wide)),
+  slots AS (SELECT node, list(place) AS slots FROM (SELECT node, place FROM places GROUP BY node, place HAVING count(DISTINCT word) > 8) GROUP BY node),
+  shaped AS (SELECT DISTINCT site, page_id, array_to_string(list_transform(words, lambda w, i: CASE WHEN list_contains(slots, i) THEN '*' ELSE w END), ' ') AS template FROM opened LEFT JOIN slots USING (node) WHERE node IN (FROM wide))
+  SELECT site, template, count(*) AS n_pages FROM shaped GROUP BY ALL HAVING count(*) >= 6""",
     "p8_found": f"""WITH i AS (SELECT item_id, {_P8_WORDS} AS w FROM eval_items), d AS (SELECT doc_id, {_P8_WORDS} AS w FROM documents WHERE text IS NOT NULL),
   iw AS (SELECT item_id, unnest(list_transform(range(1, len(w) - 11), lambda k: array_to_string(w[k:k + 12], ' '))) AS g FROM i WHERE len(w) > 12),
   dw AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - 11), lambda k: array_to_string(w[k:k + 12], ' '))) AS g FROM d WHERE len(w) > 12)

@@ -2,13 +2,13 @@
 
 Rows start in one class and are split by ever costlier keys; a row leaves as soon as its class has one member:
 
-1. the stripped length of every field and which fields are null,
-2. a histogram of chosen letters over all fields,
-3. the normalised content itself, as a 256-bit digest.
+1. cheap invariants of the raw texts: which fields are null, how many plain letters and digits each text and address
+   has, and a histogram of some of them over all fields. No text is normalised for this,
+2. for the rows of classes with several members the normalised content itself, as a 256-bit digest.
 
 Round 1 shuffles (key, count) pairs that are aggregated before the shuffle. The keys of classes with several members
-are joined back with salt, so that a class holding a third of all rows is spread over many tasks. Rounds 2 and 3 work
-on (id, key) rows only; no text is moved after round 1 and no class is collected anywhere.
+are joined back with salt, so that a class holding a third of all rows is spread over many tasks; only there, past the
+join, texts are normalised. The last grouping works on (id, keys) rows, and no class is collected anywhere.
 
 Two rows are copies when all fields agree after letter case, white space and punctuation are left out. In an address
 the parameters after the first '?' may stand in any order. An object field (JSON) is compared by its entries. Null
@@ -22,7 +22,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SALTS = 16
-LETTERS = "etaoinsr"
+#: Characters whose number no formatting changes; 's' is left out, since 'ß' is folded to it.
+PLAIN = "abcdefghijklmnopqrtuvwxyz0123456789"
+LETTERS = "etaoinrhldcumg0123456789"
 
 
 def fold(c: Column) -> Column:
@@ -46,30 +48,25 @@ def fold_object(c: Column) -> Column:
     return F.when(entries.isNotNull(), F.concat(F.lit("&"), listed)).otherwise(fold(c))
 
 
-def _classes(df: DataFrame, key: list[str]) -> DataFrame:
-    return df.groupBy(*key).agg(F.min("_id").alias("_first"), F.count("*").alias("_n")).filter("_n > 1")
-
-
 def refine(df: DataFrame, row_id: str, texts: list[str], addresses: list[str] = (), objects: list[str] = ()) -> DataFrame:
     """(row_id, first_id, n_copies): each row of a class with several members, the least id of the class and its size."""
-    names = [*texts, *addresses, *objects]
-    folded = df.select(
-        F.col(row_id).cast("bigint").alias("_id"),
-        *[fold(F.col(x).cast("string")).alias(f"_f{i}") for i, x in enumerate(texts)],
-        *[fold_address(F.col(x).cast("string")).alias(f"_f{i + len(texts)}") for i, x in enumerate(addresses)],
-        *[fold_object(F.col(x).cast("string")).alias(f"_f{i + len(texts) + len(addresses)}") for i, x in enumerate(objects)],
-    ).filter("_id is not null")
-    cols = [F.col(f"_f{i}") for i in range(len(names))]
-    cheap = folded.withColumn("_k1", F.xxhash64(*[F.coalesce(F.length(c), F.lit(-1)) for c in cols]))
+    rows = df.select(F.col(row_id).cast("bigint").alias("_id"), *[F.col(x).cast("string").alias(f"_t{i}") for i, x in enumerate([*texts, *addresses, *objects])]).filter("_id is not null")
+    raw = [F.col(f"_t{i}") for i in range(len(texts) + len(addresses) + len(objects))]
+    plain = [F.lower(c) for c in raw[: len(texts) + len(addresses)]]
+    # An object's raw text may be escaped in several ways, so only its being null counts here.
+    lengths = [F.coalesce(F.length(c) - F.length(F.translate(c, PLAIN, "")), F.lit(-1)) for c in plain]
+    whole = F.concat_ws("", *plain)
+    histogram = [F.length(whole) - F.length(F.replace(whole, F.lit(x))) for x in LETTERS]
+    cheap = rows.withColumn("_k1", F.xxhash64(*lengths, *[c.isNull() for c in raw], *histogram))
     several = cheap.groupBy("_k1").agg(F.count("*").alias("_n")).filter("_n > 1").select("_k1").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     kept = cheap.withColumn("_salt", F.pmod(F.xxhash64("_id"), F.lit(SALTS)).cast("int")).join(several, ["_k1", "_salt"], "left_semi")
-    whole = F.concat_ws("\u0001", *[F.coalesce(c, F.lit("\u0002")) for c in cols])
-    histogram = F.xxhash64(*[F.length(whole) - F.length(F.replace(whole, F.lit(x))) for x in LETTERS])
-    keyed = kept.select("_id", "_k1", histogram.alias("_k2"), F.unhex(F.sha2(whole, 256)).alias("_k3")).distinct()
-    groups = _classes(keyed, ["_k1", "_k2", "_k3"])
+    folds = [*[fold] * len(texts), *[fold_address] * len(addresses), *[fold_object] * len(objects)]
+    content = F.concat_ws("\u0001", *[F.coalesce(f(c), F.lit("\u0002")) for f, c in zip(folds, raw, strict=True)])
+    keyed = kept.select("_id", "_k1", F.unhex(F.sha2(content, 256)).alias("_k2")).distinct()
+    groups = keyed.groupBy("_k1", "_k2").agg(F.min("_id").alias("_first"), F.count("*").alias("_n")).filter("_n > 1")
     spread = groups.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     rows = keyed.withColumn("_salt", F.pmod(F.xxhash64("_id"), F.lit(SALTS)).cast("int"))
-    return rows.join(spread, ["_k1", "_k2", "_k3", "_salt"]).select(F.col("_id").alias("row_id"), F.col("_first").alias("first_id"), F.col("_n").alias("n_copies"))
+    return rows.join(spread, ["_k1", "_k2", "_salt"]).select(F.col("_id").alias("row_id"), F.col("_first").alias("first_id"), F.col("_n").alias("n_copies"))
 
 
 FIELDS = {
@@ -88,7 +85,7 @@ def copies(tables: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def collapsed(df: DataFrame, name: str) -> DataFrame:
+def counted(df: DataFrame, name: str) -> DataFrame:
     """One row per distinct record: (id of the least copy, n_copies)."""
     row_id, texts, addresses, objects = FIELDS[name]
     found = refine(df.select(row_id, *texts, *addresses, *objects), row_id, texts, addresses, objects)
@@ -97,12 +94,17 @@ def collapsed(df: DataFrame, name: str) -> DataFrame:
     return firsts.unionByName(rest.select("row_id", F.lit(1).cast("bigint").alias("n_copies"))).withColumnRenamed("row_id", row_id)
 
 
+def collapsed(tables: dict[str, DataFrame]) -> DataFrame:
+    """(src_table, rec_id, n_copies): one row per distinct record of every table."""
+    return reduce(DataFrame.unionByName, [counted(df, name).select(F.lit(name).alias("src_table"), F.col(FIELDS[name][0]).alias("rec_id"), "n_copies") for name, df in tables.items()])
+
+
 def records(tables: dict[str, DataFrame]) -> DataFrame:
     """(src_table, rec_id, n_copies, every other column): the record of least id of each group of copies, over all tables."""
     parts = []
     for name, df in tables.items():
         row_id = FIELDS[name][0]
         keyed = df.withColumn(row_id, F.col(row_id).cast("bigint"))
-        whole = keyed.join(collapsed(keyed, name), row_id).dropDuplicates([row_id])
+        whole = keyed.join(counted(keyed, name), row_id).dropDuplicates([row_id])
         parts.append(whole.select(F.lit(name).alias("src_table"), F.col(row_id).alias("rec_id"), "n_copies", *[c for c in df.columns if c != row_id]))
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
