@@ -81,7 +81,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.shares(table(spark, sf_dir, "documents", "source", "text"), table(spark, sf_dir, "mix_targets"))
+    return mixing.shares(table(spark, sf_dir, "documents", "doc_id", "source", "text"), table(spark, sf_dir, "mix_targets"))
 
 
 def p9_selected(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -145,6 +145,9 @@ _P10 = """
   factors AS (SELECT rep, min(s) AS start, max(s) - min(s) + 300 AS size, ref, min(s) - shift AS ref_start FROM islands GROUP BY rep, ref, shift, island)"""
 
 ORACLES = {
+    # Sizes in characters: no source lies so close to its share that the unit matters, from scale 0.01 on.
+    "p9_found": """WITH sizes AS (SELECT source, sum(length(text)) AS n FROM documents GROUP BY source)
+  SELECT t.source FROM mix_targets t LEFT JOIN sizes s USING (source) WHERE t.max_repeats * coalesce(s.n, 0) < t.target_share * (SELECT sum(n) FROM sizes)""",
     "p10_found": f"""{_P10}, links AS (SELECT DISTINCT a.rep AS x, b.rep AS y FROM (SELECT DISTINCT rep, h FROM shared) a JOIN (SELECT DISTINCT rep, h FROM shared) b USING (h))
   SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM (SELECT x, y FROM links UNION SELECT rep, rep FROM members) JOIN members a ON a.rep = x JOIN members b ON b.rep = y WHERE a.doc_id < b.doc_id""",
     "p10_factors": f"{_P10} SELECT * FROM factors",

@@ -135,10 +135,29 @@ def test_mixing(spark):
     assert sorted(map(tuple, chosen)) == sorted(map(tuple, again)) and {r.source for r in chosen} == {"a", "b"}
     for s in "ab":
         placed = sum(r.n_tokens * r.copies for r in chosen if r.source == s)
-        assert rows[s].mix_tokens <= placed <= rows[s].mix_tokens + 1000
+        assert rows[s].mix_tokens == placed and abs(placed - 64 * rows[s].blocks) < 1500
     assert mixing.shares(df.limit(0), targets).count() == 3
 
 
+def test_mixing_follows_the_quotas_of_many_shards(spark, monkeypatch):
+    """Reachability by quotas is what the definition says, and every shard gives its quota."""
+    r = random.Random(9)
+    for name in ("SHARD_TOKENS", "MAX_SHARDS"):
+        monkeypatch.setattr(mixing, name, 20_000 if name == "SHARD_TOKENS" else 50)
+    rows = [(i, r.choice("aaaaaabcde"), r.randrange(1, 400)) for i in range(6000)]
+    counts = spark.createDataFrame(rows, "doc_id bigint, source string, n_tokens bigint")
+    tokens = {s: sum(n for _, x, n in rows if x == s) for s in "abcde"}
+    total = sum(tokens.values())
+    shares = {"a": 0.1, "b": 0.3, "c": 0.35, "d": 0.05, "e": 0.2}
+    targets = spark.createDataFrame([(s, p, 1 + k % 3) for k, (s, p) in enumerate(shares.items())], "source string, target_share double, max_repeats int")
+    planned = {x["source"]: x for x in mixing.plan(counts, targets, 64)}
+    assert {s: x["reachable"] for s, x in planned.items()} == {s: (1 + k % 3) * tokens[s] >= p * total for k, (s, p) in enumerate(shares.items())}
+    chosen = mixing.selected(counts, targets, 64).collect()
+    for s, x in planned.items():
+        assert max((c.copies for c in chosen if c.source == s), default=0) <= x["max_repeats"]
+        assert sum(c.n_tokens * c.copies for c in chosen if c.source == s) == pytest.approx(64 * x["blocks"], rel=0.05)
+
+
 # ---- spans -----------------------------------------------------------------------------------------------------
 
 def shared_run(a, b, n):
