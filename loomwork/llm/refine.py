@@ -2,8 +2,8 @@
 
 Rows start in one class and are split by ever costlier keys; a row leaves as soon as its class has one member:
 
-1. cheap invariants of the raw texts: which fields are null, how many plain letters and digits each text and address
-   has, and a histogram of some of them over all fields. No text is normalised for this,
+1. cheap invariants of the raw texts: which fields are null and a histogram of some letters and digits over all texts
+   and addresses. No text is normalised for this,
 2. for the rows of classes with several members the normalised content itself, as a 256-bit digest.
 
 Round 1 shuffles (key, count) pairs that are aggregated before the shuffle. The keys of classes with several members
@@ -22,9 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SALTS = 16
-#: Characters whose number no formatting changes; 's' is left out, since 'ß' is folded to it.
-PLAIN = "abcdefghijklmnopqrtuvwxyz0123456789"
-LETTERS = "etaoinrhldcumg0123456789"
+#: Characters whose number no formatting changes; 's' would not do, since 'ß' is folded to it.
+LETTERS = "eanr10"
 
 
 def fold(c: Column) -> Column:
@@ -54,10 +53,9 @@ def refine(df: DataFrame, row_id: str, texts: list[str], addresses: list[str] =
     raw = [F.col(f"_t{i}") for i in range(len(texts) + len(addresses) + len(objects))]
     plain = [F.lower(c) for c in raw[: len(texts) + len(addresses)]]
     # An object's raw text may be escaped in several ways, so only its being null counts here.
-    lengths = [F.coalesce(F.length(c) - F.length(F.translate(c, PLAIN, "")), F.lit(-1)) for c in plain]
-    whole = F.concat_ws("", *plain)
+    whole = F.col("_whole")
     histogram = [F.length(whole) - F.length(F.replace(whole, F.lit(x))) for x in LETTERS]
-    cheap = rows.withColumn("_k1", F.xxhash64(*lengths, *[c.isNull() for c in raw], *histogram))
+    cheap = rows.withColumn("_whole", F.concat_ws("", *plain)).withColumn("_k1", F.xxhash64(*[c.isNull() for c in raw], *histogram)).drop("_whole")
     several = cheap.groupBy("_k1").agg(F.count("*").alias("_n")).filter("_n > 1").select("_k1").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     kept = cheap.withColumn("_salt", F.pmod(F.xxhash64("_id"), F.lit(SALTS)).cast("int")).join(several, ["_k1", "_salt"], "left_semi")
     folds = [*[fold] * len(texts), *[fold_address] * len(addresses), *[fold_object] * len(objects)]
