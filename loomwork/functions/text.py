@@ -94,21 +94,31 @@ def text_stats(c: Column) -> Column:
     return let(_parts(c), stats)
 
 
-def _syllables_of(w: Column) -> Column:
-    """Sum of ``syllables`` over words in three passes over their concatenation: vowel groups, less silent e's, plus
-    one for each word that would be left without any."""
-    joined = F.concat(F.lit(" "), F.array_join(w, " "), F.lit(" "))
-    return F.regexp_count(joined, F.lit("[aeiouy]+")) - F.regexp_count(joined, F.lit("[^aeiouy ]e(?= )")) + F.regexp_count(joined, F.lit("(?<= )[^aeiouy ]+e?(?= )"))
+_CONSONANT = r"[\p{L}\p{N}&&[^aeiouy]]"
+
+
+def _counts(c: Column) -> Column:
+    """STRUCT of a text and its numbers of words, sentences and syllables (see ``syllables``), counted on the text itself."""
+    n_words = lambda x: F.regexp_count(x, F.lit(r"[\p{L}\p{N}]+"))
+    n_sentences = F.regexp_count(c, F.lit(r"[^.!?\s\x{00A0}][^.!?]*"))
+    # Vowel groups, less silent e's, plus one for each word that would be left without any.
+    n_syllables = lambda x: F.regexp_count(x, F.lit("[aeiouy]+")) - F.regexp_count(x, F.lit(rf"{_CONSONANT}e(?![\p{{L}}\p{{N}}])")) + F.regexp_count(x, F.lit(rf"(?<![\p{{L}}\p{{N}}]){_CONSONANT}+e?(?![\p{{L}}\p{{N}}])"))
+    return let(F.lower(c), lambda x: F.struct(c.alias("c"), x.alias("low"), n_words(x).alias("nw"), n_sentences.alias("ns"), n_syllables(x).alias("ny")))
 
 
 def _flesch(x: Column) -> Column:
-    n, k = F.size(x["w"]), F.greatest(F.lit(1), F.size(x["s"]))
-    return F.when(n > 0, F.lit(206.835) - F.lit(1.015) * n / k - F.lit(84.6) * _syllables_of(x["w"]) / n)
+    n = x["nw"]
+    return F.when(n > 0, F.lit(206.835) - F.lit(1.015) * n / F.greatest(F.lit(1), x["ns"]) - F.lit(84.6) * x["ny"] / n)
 
 
 def flesch(c: Column) -> Column:
     """206.835 - 1.015 words per sentence - 84.6 syllables per word; null for a text without words."""
-    return let(_parts(c), _flesch)
+    return let(_counts(c), _flesch)
+
+
+def readability_approx(c: Column) -> Column:
+    """1 for sentences of 17 words on average, less by a thirtieth for each word more or less, at least 0."""
+    return let(_counts(c), lambda x: F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.abs(x["nw"] / F.greatest(F.lit(1), x["ns"]) - 17) / 30)))
 
 
 def sentiment(c: Column) -> Column:
@@ -129,11 +139,11 @@ def quality(c: Column) -> Column:
     """STRUCT of part scores in 0..1 and their weighted total: length, structure, informativeness, readability."""
 
     def parts(x: Column) -> Column:
-        n, w = F.length(x["c"]), x["w"]
+        n = F.length(x["c"])
         length = F.when(n < 50, 0.1).when(n < 200, 0.5).when(n < 500, 0.7).when(n < 2000, 1.0).when(n < 5000, 0.8).otherwise(0.6)
-        structure = F.when(F.contains(x["c"], F.lit("\n\n")), 0.3).otherwise(0.0) + F.when(F.size(x["s"]) > 2, 0.4).otherwise(0.0) + F.when(x["c"].rlike("[A-Z]"), 0.3).otherwise(0.0)
-        digits = F.length(F.regexp_replace(x["c"], "[^0-9]", "")) / F.greatest(F.lit(1), n)
-        informative = F.when(F.size(w) > 0, 0.7 * F.size(F.array_distinct(w)) / F.size(w)).otherwise(0.0) + 0.3 * F.least(5 * digits, F.lit(1.0))
+        structure = F.when(F.contains(x["c"], F.lit("\n\n")), 0.3).otherwise(0.0) + F.when(x["ns"] > 2, 0.4).otherwise(0.0) + F.when(x["c"].rlike("[A-Z]"), 0.3).otherwise(0.0)
+        digits = F.regexp_count(x["c"], F.lit("[0-9]")) / F.greatest(F.lit(1), n)
+        informative = F.when(x["nw"] > 0, 0.7 * F.size(F.array_distinct(F.regexp_extract_all(x["low"], F.lit(r"[\p{L}\p{N}]+"), 0))) / x["nw"]).otherwise(0.0) + 0.3 * F.least(5 * digits, F.lit(1.0))
         readable = F.coalesce(F.least(F.lit(1.0), F.greatest(F.lit(0.0), _flesch(x) / 100)), F.lit(0.0))
         return F.struct(n.alias("n"), length.alias("length_score"), structure.alias("structure_score"), informative.alias("informativeness"), readable.alias("readability"))
 
@@ -141,4 +151,4 @@ def quality(c: Column) -> Column:
         score = F.when(p["n"] < 10, 0.0).otherwise(0.25 * p["length_score"] + 0.25 * p["structure_score"] + 0.25 * p["informativeness"] + 0.25 * p["readability"])
         return F.struct(*[p[x].alias(x) for x in ("length_score", "structure_score", "informativeness", "readability")], F.when(p["n"].isNotNull(), score).alias("quality"))
 
-    return let(let(_parts(c), parts), total)
+    return let(let(_counts(c), parts), total)

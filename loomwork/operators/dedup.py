@@ -7,9 +7,14 @@ from pyspark.sql import functions as F
 
 
 def first_by(df: DataFrame, keys: list[str | Column], order: list[Column]) -> DataFrame:
-    """One row per key, the first in ``order``; rows with a null key are each other's duplicates."""
+    """One row per key, the first in ``order``; a row with a null in its key is nobody's duplicate and stays."""
     names = [f"_k{i}" for i in range(len(keys))]
     keyed = df.withColumns({n: (F.col(k) if isinstance(k, str) else k) for n, k in zip(names, keys, strict=True)})
+    missing = F.lit(False)
+    for n in names:
+        missing = missing | F.col(n).isNull()
+    keyed = keyed.withColumn("_alone", F.when(missing, F.monotonically_increasing_id()))
+    names = [*names, "_alone"]
     # min over a struct aggregates before the shuffle, unlike a window.
     ranked = [o.alias(f"o{i}") for i, o in enumerate(order)]
     best = keyed.groupBy(*names).agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in df.columns]), F.struct(*ranked)).alias("_row"))

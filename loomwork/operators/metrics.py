@@ -1,5 +1,7 @@
 """Run statistics: grouped aggregates, time buckets, trends, anomalies, trailing windows, entropy."""
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,9 +14,28 @@ def rates(df: DataFrame, by: list[str], ok: Column, value: Column) -> DataFrame:
     return out.withColumn("failed", F.col("total") - F.col("ok")).withColumn("success_rate", F.col("ok") / F.col("total"))
 
 
-def upper_median(c: Column) -> Column:
-    """Element n div 2 of the sorted values."""
-    return F.element_at(F.array_sort(F.collect_list(c)), (F.count(c) / 2).cast("int") + 1)
+def value_at(df: DataFrame, by: str, value: str, rank: Callable[[Column], Column], ranges: int = 4096) -> DataFrame:
+    """(by, at, low, high, n): the value of rank ``rank(n)`` (from 1) among the n values of each group, nulls left out.
+
+    Values are counted in equal ranges between the group's ends; only the values of the range that holds the rank are
+    put in order, equal ones counted once, so that no group is sorted in one task.
+    """
+    v = df.filter(F.col(value).isNotNull()).select(F.col(by).alias("_g"), F.col(value).cast("double").alias("_v"), F.col(value).alias("_raw"))
+    ends = v.groupBy("_g").agg(F.min("_v").alias("_low"), F.max("_v").alias("_high"), F.min("_raw").alias("low"), F.max("_raw").alias("high"), F.count("*").alias("n"))
+    spread = ends.select(F.col("_g").alias("_h"), "_low", "_high", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_s"))
+    salted = v.withColumn("_salt", F.pmod(F.xxhash64("_v"), F.lit(SALTS)).cast("int"))
+    width = (F.col("_high") - F.col("_low")) / ranges
+    place = F.when(width > 0, F.least(F.lit(ranges - 1), F.floor((F.col("_v") - F.col("_low")) / width))).otherwise(0)
+    ranged = salted.join(spread, (F.col("_salt") == F.col("_s")) & F.col("_g").eqNullSafe(F.col("_h"))).select("_g", "_raw", place.cast("int").alias("_r"))
+    counted = ranged.groupBy("_g", "_r", "_raw").agg(F.count("*").alias("_k"))
+    sums = counted.groupBy("_g", "_r").agg(F.sum("_k").alias("_k"))
+    before = sums.withColumn("_upto", F.sum("_k").over(Window.partitionBy("_g").orderBy("_r")))
+    total = ends.select(F.col("_g").alias("_h"), "low", "high", "n")
+    wanted = before.join(total, F.col("_g").eqNullSafe(F.col("_h"))).select("_h", F.col("_r").alias("_q"), (F.col("_upto") - F.col("_k")).alias("_before"), "_upto", rank(F.col("n")).alias("_at"), "low", "high", "n")
+    wanted = wanted.filter("_at > _before and _at <= _upto")
+    near = counted.join(wanted, F.col("_g").eqNullSafe(F.col("_h")) & (F.col("_r") == F.col("_q")))
+    upto = F.sum("_k").over(Window.partitionBy("_g").orderBy("_raw")) + F.col("_before")
+    return near.withColumn("_upto2", upto).filter(F.col("_upto2") >= F.col("_at")).groupBy(F.col("_g").alias(by), "low", "high", "n").agg(F.min("_raw").alias("at")).select(by, "at", "low", "high", "n")
 
 
 def buckets(df: DataFrame, ts: str, width: str, by: list[str], aggs: list[Column]) -> DataFrame:

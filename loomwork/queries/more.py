@@ -243,12 +243,6 @@ def U8_completeness(spark, d):
     return table(spark, d, "search_results").select("hit_id", F.round(0.8 * filled / 4 + 0.2 * F.least(F.coalesce("relevance_score", F.lit(0.0)), F.lit(1.0)), 6).alias("completeness"))
 
 
-@query("""SELECT k, max(n) AS features, count(*) AS merged FROM (SELECT lower(trim(brand)) AS k, len(features) AS n FROM listing_items WHERE brand IS NOT NULL) GROUP BY k""")
-def U9_merge_lists(spark, d):
-    df = table(spark, d, "listing_items", "brand", "features").filter("brand is not null").select(F.lower(F.trim("brand")).alias("k"), F.when(F.col("features").isNotNull(), F.size("features")).cast("bigint").alias("n"))
-    return df.groupBy("k").agg(F.max("n").alias("features"), F.count("*").alias("merged"))
-
-
 @query(rf"SELECT {HOST.format('url')} || '/' || regexp_extract(url, '^[A-Za-z]+://[^/]+/([^/?#]+)', 1) AS pattern, count(*) AS n, max(length(content)) AS longest FROM scraped_content GROUP BY 1")
 def U10_by_pattern(spark, d):
     return table(spark, d, "scraped_content").groupBy(urls.site_pattern(F.col("url")).alias("pattern")).agg(F.count("*").alias("n"), F.max(F.length("content")).cast("bigint").alias("longest"))
@@ -315,15 +309,6 @@ def K1_canonical_json(spark, d):
     return n.select("n_nationkey", canonical_json(n).alias("json"))
 
 
-@query("SELECT user_id, count(*) FILTER (WHERE NOT ok) AS refused, count(*) AS n FROM (SELECT user_id, true AS ok FROM events) GROUP BY user_id")
-def R5_token_bucket(spark, d):
-    """With a bucket larger than any user's requests nothing is refused."""
-    from loomwork.streaming import token_bucket
-
-    out = token_bucket(table(spark, d, "events"), "user_id", "event_id", "ts", 1.0, 1e12)
-    return out.groupBy(F.col("key").cast("bigint").alias("user_id")).agg(F.count_if(~F.col("allowed")).alias("refused"), F.count("*").alias("n"))
-
-
 @query("SELECT time_bucket(INTERVAL '1 hour', ts) AS bucket, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def R2_hourly(spark, d):
     return metrics.buckets(table(spark, d, "events"), "ts", "1 hour", ["event_type"], [F.count("*").alias("n")]).select("bucket", "event_type", "n")

@@ -75,27 +75,12 @@ def A18_coverage(spark, d):
     return one.unpivot([], ["title", "price"], "field", "coverage")
 
 
-@query("SELECT round(0.4 * avg(p) + 0.6 * 1.0, 6) AS consistency FROM (SELECT ((title IS NOT NULL)::INT + (price IS NOT NULL)::INT + (image_url IS NOT NULL)::INT) / 3 AS p FROM broker_results)")
-def A20_consistency(spark, d):
-    p = sum((F.col(c).isNotNull().cast("int") for c in ("title", "price", "image_url")), F.lit(0)) / 3
-    return table(spark, d, "broker_results").select(p.alias("p")).agg(F.round(0.4 * F.avg("p") + 0.6, 6).alias("consistency"))
-
-
 @query("SELECT result_id, round(((trim(coalesce(title, '')) <> '')::INT + (trim(coalesce(price, '')) <> '')::INT + (trim(coalesce(image_url, '')) <> '')::INT + (trim(full_text) <> '')::INT) / 4, 6) AS share FROM broker_results")
 def A27_profile(spark, d):
     filled = sum(((~N.is_empty(F.col(c))).cast("int") for c in ("title", "price", "image_url", "full_text")), F.lit(0))
     return table(spark, d, "broker_results").select("result_id", F.round(filled / 4, 6).alias("share"))
 
 
-@query("""WITH a AS (SELECT doc_id, url, md5(coalesce(text, '')) AS h, substr(text, 1, 80) AS t FROM documents), b AS (SELECT *, row_number() OVER (PARTITION BY lower(url) ORDER BY doc_id) AS r FROM a),
-  c AS (SELECT *, row_number() OVER (PARTITION BY h ORDER BY doc_id) AS q FROM b WHERE r = 1), e AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY doc_id) AS s FROM c WHERE q = 1) SELECT doc_id FROM e WHERE s = 1""")
-def U4_three_keys(spark, d):
-    df = table(spark, d, "documents", "doc_id", "url", "text").select("doc_id", F.lower("url").alias("u"), F.md5(F.coalesce("text", F.lit(""))).alias("h"), F.substring("text", 1, 80).alias("t"))
-    for key in ("u", "h", "t"):
-        df = dedup.first_by(df, [key], [F.col("doc_id")])
-    return df.select("doc_id")
-
-
 @query(r"""WITH a AS (SELECT doc_id, coalesce(nullif(regexp_replace(lower(split_part(split_part(trim(url), '#', 1), '?', 1)), '/+$', ''), ''), '#' || doc_id) AS u, coalesce(nullif(text, ''), chr(1) || doc_id) AS h FROM documents),
   b AS (SELECT *, row_number() OVER (PARTITION BY u ORDER BY doc_id) AS r FROM a), c AS (SELECT *, row_number() OVER (PARTITION BY h ORDER BY doc_id) AS q FROM b WHERE r = 1) SELECT doc_id FROM c WHERE q = 1""")
 def U4_whole_keys(spark, d):
@@ -114,15 +99,6 @@ def U7_most_complete(spark, d):
     return dedup.first_by(df, ["k"], [-F.col("filled"), F.col("result_id")]).select("k", F.col("result_id").alias("best"))
 
 
-@query("SELECT round(len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))), 6) AS similarity FROM (SELECT (SELECT json_keys(metadata) FROM search_results ORDER BY hit_id LIMIT 1) AS a, (SELECT json_keys(structured_data) FROM page_data WHERE structured_data IS NOT NULL ORDER BY page_id LIMIT 1) AS b)")
-def U13_key_similarity(spark, d):
-    """Of the keys of two kinds of objects, taken from the first object of each."""
-    a = table(spark, d, "search_results", "hit_id", "metadata").agg(F.min_by("metadata", "hit_id").alias("a"))
-    b = table(spark, d, "page_data", "page_id", "structured_data").filter("structured_data is not null").agg(F.min_by("structured_data", "page_id").alias("b"))
-    x, y = F.json_object_keys("a"), F.json_object_keys("b")
-    return a.join(b, F.lit(True)).select(F.round(F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y)), 6).alias("similarity"))
-
-
 @query("SELECT item_id, url AS _source_url, unnest(features) AS feature FROM (SELECT DISTINCT item_id, url, features FROM listing_items)")
 def U14_provenance(spark, d):
     return table(spark, d, "listing_items", "item_id", "url", "features").distinct().filter("size(features) > 0").select("item_id", F.col("url").alias("_source_url"), F.explode("features").alias("feature"))

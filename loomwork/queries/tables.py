@@ -148,14 +148,13 @@ def A5_overall(spark, d):
 
 @query("SELECT event_type, list_sort(list(value))[count(value) // 2 + 1] AS median, min(value) AS low, max(value) AS high, count(value) AS n FROM events GROUP BY event_type")
 def A7_operation_stats(spark, d):
-    """The upper median by rank over counts of equal values, so that no group's values are collected."""
-    from pyspark.sql import Window
+    """The upper median, found by counts of value ranges."""
+    return metrics.value_at(table(spark, d, "events"), "event_type", "value", lambda n: F.floor(n / 2) + 1).select("event_type", F.col("at").alias("median"), "low", "high", "n")
+
 
-    v = table(spark, d, "events").filter("value is not null").groupBy("event_type", "value").agg(F.count("*").alias("k"))
-    w = Window.partitionBy("event_type")
-    ranked = v.withColumn("upto", F.sum("k").over(w.orderBy("value"))).withColumn("n", F.sum("k").over(w))
-    at = F.floor(F.col("n") / 2) + 1
-    return ranked.groupBy("event_type").agg(F.min(F.when(F.col("upto") >= at, F.col("value"))).alias("median"), F.min("value").alias("low"), F.max("value").alias("high"), F.max("n").alias("n"))
+@query("SELECT event_type, list_sort(list(value))[trunc(count(value) * 0.95)::INT + 1] AS p95 FROM events WHERE value IS NOT NULL GROUP BY event_type HAVING count(value) >= 20")
+def A25_p95(spark, d):
+    return metrics.value_at(table(spark, d, "events"), "event_type", "value", lambda n: F.floor(n * 0.95) + 1).filter("n >= 20").select("event_type", F.col("at").alias("p95"))
 
 
 @query("SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users, list_sort(list(DISTINCT user_id % 5)) AS classes FROM events GROUP BY event_type")
@@ -197,16 +196,6 @@ def A22_signatures(spark, d):
     return table(spark, d, "broker_results").groupBy(sig.alias("signature")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT event_type, list_sort(list(value))[trunc(count(value) * 0.95)::INT + 1] AS p95 FROM events WHERE value IS NOT NULL GROUP BY event_type HAVING count(value) >= 20")
-def A25_p95(spark, d):
-    from pyspark.sql import Window
-
-    v = table(spark, d, "events").filter("value is not null").groupBy("event_type", "value").agg(F.count("*").alias("k"))
-    w = Window.partitionBy("event_type")
-    ranked = v.withColumn("upto", F.sum("k").over(w.orderBy("value"))).withColumn("n", F.sum("k").over(w))
-    return ranked.filter("n >= 20").groupBy("event_type").agg(F.min(F.when(F.col("upto") >= F.floor(F.col("n") * 0.95) + 1, F.col("value"))).alias("p95"))
-
-
 @query(rf"""SELECT source, word, n, rank FROM (SELECT source, word, count(*) AS n, row_number() OVER (PARTITION BY source ORDER BY count(*) DESC, word) AS rank FROM
   (SELECT source, unnest(list_filter(regexp_split_to_array(lower(text), '[^\p{{L}}\p{{N}}]+'), lambda w: length(w) > 2 AND w NOT IN ({", ".join(repr(w) for w in T.STOP_WORDS)}))) AS word FROM documents) GROUP BY source, word) WHERE rank <= 10""")
 def A28_keywords(spark, d):
@@ -214,12 +203,6 @@ def A28_keywords(spark, d):
     return metrics.top_words(table(spark, d, "documents", "source", "text"), "source", tokens, 10)
 
 
-@query("SELECT lower(trim(title)) AS key, count(DISTINCT domain) AS n_batches FROM search_results WHERE title IS NOT NULL AND domain IS NOT NULL GROUP BY 1 HAVING count(DISTINCT domain) >= 1")
-def A29_in_batches(spark, d):
-    df = table(spark, d, "search_results", "title", "domain").filter("domain is not null").select(F.lower(F.trim("title")).alias("key"), "domain")
-    return dedup.in_batches(df, "key", "domain", 1)
-
-
 @query("SELECT hit_id, row_number() OVER (ORDER BY coalesce(relevance_score, 0) * 0.7 + 0.3 / ranking DESC, hit_id) AS rank FROM search_results ORDER BY rank LIMIT 100")
 def W1_rank(spark, d):
     """A top-k report: the order is global, so the best rows are taken first and numbered afterwards."""
@@ -275,9 +258,9 @@ def U2_concat(spark, d):
     return dedup.concat_sources(parts)
 
 
-@query("WITH a AS (SELECT *, row_number() OVER (PARTITION BY md5(coalesce(text, '')) ORDER BY doc_id) AS r FROM documents), b AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY doc_id) AS q FROM a WHERE r = 1) SELECT doc_id FROM b WHERE q = 1")
+@query("WITH a AS (SELECT *, row_number() OVER (PARTITION BY coalesce(md5(text), doc_id::VARCHAR) ORDER BY doc_id) AS r FROM documents), b AS (SELECT *, row_number() OVER (PARTITION BY coalesce(url, doc_id::VARCHAR) ORDER BY doc_id) AS q FROM a WHERE r = 1) SELECT doc_id FROM b WHERE q = 1")
 def U3_hash_then_url(spark, d):
-    df = table(spark, d, "documents", "doc_id", "text", "url").select("doc_id", "url", F.md5(F.coalesce("text", F.lit(""))).alias("h"))
+    df = table(spark, d, "documents", "doc_id", "text", "url").select("doc_id", "url", F.md5("text").alias("h"))
     return dedup.first_by(dedup.first_by(df, ["h"], [F.col("doc_id")]), ["url"], [F.col("doc_id")]).select("doc_id")
 
 

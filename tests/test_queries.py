@@ -10,7 +10,8 @@ def test_query(spark, data, name):
     if name in ORACLES:
         compare(df, ORACLES[name], data)
     else:
-        assert df.columns and df.count() >= 0
+        rows = df.collect()
+        assert rows and all(any(v is not None for v in r) for r in rows)
 
 
 def test_entry_points_agree():
