@@ -204,3 +204,128 @@ def H16_rule_sets(spark, d):
     """Rules in order of priority: a single pattern, patterns that must all match, patterns of which any may."""
     rules = RuleSet().add("large", 30, price="(?i)million|mio").add("measured", 20, price="[0-9]", full_text="(?i)square feet").add("offer", 10, any_of=True, price="[0-9]", title="(?i)sale")
     return table(spark, d, "broker_results", "result_id", "price", "title", "full_text").select("result_id", rules.first().alias("first_rule"), rules.every().alias("all_rules"))
+
+
+_SENTENCES = r"regexp_extract_all(text, '[^.!?\s\x{00A0}][^.!?]*')"
+
+
+@query(f"""SELECT doc_id, doc_type, round(CASE doc_type WHEN 'article' THEN 0.4 * (n_chars >= 500)::INT + 0.3 * contains(text, chr(10))::INT + 0.3 * (len({_SENTENCES}) >= 5)::INT
+  WHEN 'listing' THEN 0.5 * regexp_matches(text, '[$€£]|[A-Z]{{3}} ?[0-9]|[0-9] ?[A-Z]{{3}}')::INT + 0.3 * regexp_matches(text, '[0-9]')::INT + 0.2 * (n_chars >= 100)::INT
+  WHEN 'review' THEN 0.5 * regexp_matches(lower(text), 'better|worse|easier|recommend|prefer')::INT + 0.5 * (n_chars >= 200)::INT
+  WHEN 'manual' THEN 0.5 * regexp_matches(text, '(?m)^(?:-|[0-9]+[.)])')::INT + 0.5 * (len({_SENTENCES}) >= 3)::INT ELSE 0.5 END, 6)::DOUBLE AS score FROM documents WHERE text IS NOT NULL""")
+def Q5_typed_scores(spark, d):
+    """Each type of document is scored by rules of its own; unknown types get 0.5."""
+    t, n = F.col("text"), F.col("n_chars")
+    on = lambda w, c: w * F.coalesce(c.cast("int"), F.lit(0))
+    n_sentences = F.regexp_count(t, F.lit(r"[^.!?\s\x{00A0}][^.!?]*"))
+    rules = {
+        "article": on(0.4, n >= 500) + on(0.3, F.contains(t, F.lit("\n"))) + on(0.3, n_sentences >= 5),
+        "listing": on(0.5, t.rlike("[$€£]|[A-Z]{3} ?[0-9]|[0-9] ?[A-Z]{3}")) + on(0.3, t.rlike("[0-9]")) + on(0.2, n >= 100),
+        "review": on(0.5, F.lower(t).rlike("better|worse|easier|recommend|prefer")) + on(0.5, n >= 200),
+        "manual": on(0.5, t.rlike(r"(?m)^(?:-|[0-9]+[.)])")) + on(0.5, n_sentences >= 3),
+    }
+    score = F.lit(0.5)
+    for kind, rule in rules.items():
+        score = F.when(F.col("doc_type") == kind, rule).otherwise(score)
+    return table(spark, d, "documents", "doc_id", "doc_type", "text", "n_chars").filter("text is not null").select("doc_id", "doc_type", F.round(score, 6).alias("score"))
+
+
+_TERMS = r"list_distinct(list_filter(regexp_split_to_array(lower({0}), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> ''))"
+
+
+@query(f"""SELECT hit_id, round(0.5 * coalesce(len(list_intersect(q, t)) / nullif(len(q), 0), 0) + 0.3 * coalesce(len(list_intersect(q, s)) / nullif(len(q), 0), 0) + 0.2 * coalesce(contains(lower(title), lower(query_text))::INT, 0), 6)::DOUBLE AS relevance
+  FROM (SELECT hit_id, title, query_text, {_TERMS.format("query_text")} AS q, {_TERMS.format("title")} AS t, {_TERMS.format("snippet")} AS s FROM search_results)""")
+def Q6_relevance(spark, d):
+    """Share of the query's words in the title and in the snippet, and whether the title has the query as it stands."""
+    q, t, s = (F.array_distinct(T.words(F.col(c))) for c in ("query_text", "title", "snippet"))
+    share = lambda x: F.coalesce(F.when(F.size(q) > 0, F.size(F.array_intersect(q, x)) / F.size(q)), F.lit(0.0))
+    whole = F.coalesce(F.contains(F.lower("title"), F.lower("query_text")).cast("int"), F.lit(0))
+    return table(spark, d, "search_results", "hit_id", "query_text", "title", "snippet").select("hit_id", F.round(0.5 * F.when(F.col("title").isNull(), 0.0).otherwise(share(t)) + 0.3 * F.when(F.col("snippet").isNull(), 0.0).otherwise(share(s)) + 0.2 * whole, 6).alias("relevance"))
+
+
+@query("""SELECT result_id, CASE WHEN price IS NULL OR trim(price) = '' THEN 0.0 WHEN regexp_matches(price, '[0-9]') AND regexp_matches(price, '[$€£¥₹]|[A-Za-z]{3}') THEN 0.9 WHEN regexp_matches(price, '[0-9]') THEN 0.7 ELSE 0.2 END::DOUBLE AS price_confidence,
+  CASE WHEN detail_url IS NULL THEN 0.0 WHEN regexp_matches(detail_url, '^https?://[^/]+[.][^/]+/') THEN 0.95 ELSE 0.3 END::DOUBLE AS url_confidence FROM broker_results""")
+def Q8_field_confidence(spark, d):
+    p, u = F.col("price"), F.col("detail_url")
+    price = F.when(F.coalesce(F.trim(p), F.lit("")) == "", 0.0).when(p.rlike("[0-9]") & p.rlike("[$€£¥₹]|[A-Za-z]{3}"), 0.9).when(p.rlike("[0-9]"), 0.7).otherwise(0.2)
+    url = F.when(u.isNull(), 0.0).when(u.rlike("^https?://[^/]+[.][^/]+/"), 0.95).otherwise(0.3)
+    return table(spark, d, "broker_results", "result_id", "price", "detail_url").select("result_id", price.alias("price_confidence"), url.alias("url_confidence"))
+
+
+_CHECKS = {"title": "length(trim(title)) >= 5", "url": "regexp_matches(url, '^https?://')", "score": "relevance_score BETWEEN 0 AND 1", "ranking": "ranking >= 1"}
+
+
+@query(f"""WITH c AS (SELECT domain, {", ".join(f"coalesce(({s})::INT, 0) AS c_{n}" for n, s in _CHECKS.items())}, ((title IS NOT NULL)::INT + (snippet IS NOT NULL)::INT + (relevance_score IS NOT NULL)::INT) / 3 AS filled,
+  (relevance_score > 0.99 OR relevance_score < 0.01)::INT AS odd FROM search_results WHERE domain IS NOT NULL)
+  SELECT domain, round(avg(({" + ".join(f"c_{n}" for n in _CHECKS)}) / 4), 6) AS compliance, round((avg(({" + ".join(f"c_{n}" for n in _CHECKS)}) / 4) + avg(filled) + greatest(0, 1 - coalesce(stddev_pop(filled), 0)) + 1 - avg(coalesce(odd, 0))) / 4, 6) AS assessment FROM c GROUP BY domain""")
+def Q13_assessment(spark, d):
+    """Compliance with a schema's checks, and its mean with completeness, consistency and the share of ordinary values."""
+    h = table(spark, d, "search_results", "domain", "title", "url", "relevance_score", "ranking", "snippet").filter("domain is not null")
+    checks = [F.length(F.trim("title")) >= 5, F.col("url").rlike("^https?://"), F.col("relevance_score").between(0, 1), F.col("ranking") >= 1]
+    passed = sum((F.coalesce(c.cast("int"), F.lit(0)) for c in checks), F.lit(0)) / 4
+    filled = sum((F.col(c).isNotNull().cast("int") for c in ("title", "snippet", "relevance_score")), F.lit(0)) / 3
+    odd = F.coalesce(((F.col("relevance_score") > 0.99) | (F.col("relevance_score") < 0.01)).cast("int"), F.lit(0))
+    one = h.select("domain", passed.alias("p"), filled.alias("f"), odd.alias("o")).groupBy("domain").agg(F.avg("p").alias("p"), F.avg("f").alias("f"), F.stddev_pop("f").alias("s"), F.avg("o").alias("o"))
+    steady = F.greatest(F.lit(0.0), 1 - F.coalesce("s", F.lit(0.0)))
+    return one.select("domain", F.round("p", 6).alias("compliance"), F.round((F.col("p") + F.col("f") + steady + 1 - F.col("o")) / 4, 6).alias("assessment"))
+
+
+@query("""SELECT doc_type, arg_max(source, (q, source)) AS best, round(max(q), 6) AS score, count(*) AS compared FROM (SELECT doc_type, source, round(avg(least(n_chars / 1500, 1)), 6) AS q FROM documents WHERE source IS NOT NULL GROUP BY ALL) GROUP BY doc_type""")
+def Q21_best_method(spark, d):
+    """Of several methods (here sources) the one of best mean score per kind."""
+    q = table(spark, d, "documents", "doc_type", "source", "n_chars").filter("source is not null").groupBy("doc_type", "source").agg(F.round(F.avg(F.least(F.col("n_chars") / 1500, F.lit(1.0))), 6).alias("q"))
+    return q.groupBy("doc_type").agg(F.max_by("source", F.struct("q", "source")).alias("best"), F.round(F.max("q"), 6).alias("score"), F.count("*").alias("compared"))
+
+
+@query(r"""SELECT result_id, list_transform(regexp_extract_all(full_text, '[0-9]+ square feet'), lambda x: regexp_extract(x, '[0-9]+', 0)::BIGINT) AS areas, regexp_extract_all(full_text, '\b(?:January|February|March|April|May|June|July|August|September|October|November|December)\b') AS months,
+  list_distinct(regexp_extract_all(lower(full_text), '\b555-[0-9]{3,4}\b')) AS phones FROM broker_results WHERE full_text IS NOT NULL""")
+def H15_extracted(spark, d):
+    """Areas, months and telephone numbers that a text states."""
+    t = F.col("full_text")
+    areas = F.transform(F.regexp_extract_all(t, F.lit("([0-9]+) square feet")), lambda x: x.cast("bigint"))
+    months = F.regexp_extract_all(t, F.lit(r"\b(January|February|March|April|May|June|July|August|September|October|November|December)\b"))
+    return table(spark, d, "broker_results", "result_id", "full_text").filter("full_text is not null").select("result_id", areas.alias("areas"), months.alias("months"), F.array_distinct(F.regexp_extract_all(F.lower(t), F.lit(r"\b(555-[0-9]{3,4})\b"))).alias("phones"))
+
+
+@query(r"""SELECT result_id, CASE WHEN regexp_matches(detail_url, '^[a-z]+://') THEN trim(detail_url) WHEN trim(detail_url) <> '' THEN 'https://' || trim(detail_url) END AS url,
+  nullif(regexp_replace(regexp_extract(full_text, '555-[0-9]{3,4}', 0), '[^0-9]', '', 'g'), '') AS phone, nullif(regexp_replace(regexp_replace(lower(trim(title)), '\s+', ' ', 'g'), '[!.]+$', ''), '') AS title FROM broker_results""")
+def V8_typed_corrections(spark, d):
+    """Addresses get a scheme, telephone numbers become digits, titles lose case, spare blanks and marks at their end."""
+    u = F.col("detail_url")
+    url = F.when(u.rlike("^[a-z]+://"), F.trim(u)).when(F.trim(u) != "", F.concat(F.lit("https://"), F.trim(u)))
+    phone = F.nullif(F.regexp_replace(F.regexp_extract("full_text", "555-[0-9]{3,4}", 0), "[^0-9]", ""), F.lit(""))
+    title = F.nullif(F.regexp_replace(F.regexp_replace(F.lower(F.trim("title")), r"\s+", " "), "[!.]+$", ""), F.lit(""))
+    return table(spark, d, "broker_results", "result_id", "detail_url", "full_text", "title").select("result_id", url.alias("url"), phone.alias("phone"), title.alias("title"))
+
+
+@query("""WITH t AS (SELECT DISTINCT category, seller, brand, round(price.amount, 2) AS amount FROM listing_items WHERE category IS NOT NULL)
+  SELECT category, count(*) AS table_row_count, count(DISTINCT seller) AS n_tables, count(DISTINCT brand) AS brands FROM t GROUP BY category""")
+def U11_tabular(spark, d):
+    """Tables of one kind from several sources as one table without repeated rows, with its number of rows."""
+    t = table(spark, d, "listing_items", "category", "seller", "brand", "price").filter("category is not null").select("category", "seller", "brand", F.round("price.amount", 2).alias("amount")).distinct()
+    return t.groupBy("category").agg(F.count("*").alias("table_row_count"), F.count_distinct("seller").alias("n_tables"), F.count_distinct("brand").alias("brands"))
+
+
+@query(r"""WITH w AS (SELECT doc_id, unnest(range(0, len(x), 200)) AS begin, x FROM (SELECT doc_id, regexp_split_to_array(trim(regexp_replace(text, '[\s\x{00A0}]+', ' ', 'g')), ' ') AS x FROM documents WHERE trim(regexp_replace(text, '[\s\x{00A0}]+', ' ', 'g')) <> ''))
+  SELECT doc_id, begin // 200 AS batch, array_to_string(x[greatest(begin - 20, 0) + 1:begin + 200], ' ') AS text FROM w""")
+def T15_word_batches(spark, d):
+    """Batches of 200 words, each with the 20 words before it as overlap."""
+    flat = T.clean_whitespace(F.col("text"))
+    docs = table(spark, d, "documents", "doc_id", "text").select("doc_id", flat.alias("t")).filter("t <> ''").select("doc_id", F.split("t", " ").alias("x"))
+    begun = docs.withColumn("begin", F.explode(F.sequence(F.lit(0), F.size("x") - 1, F.lit(200))))
+    first = F.greatest(F.col("begin") - 20, F.lit(0))
+    return begun.select("doc_id", (F.col("begin") / 200).cast("bigint").alias("batch"), F.array_join(F.slice("x", first + 1, F.col("begin") + 200 - first), " ").alias("text"))
+
+
+@query("""WITH RECURSIVE e AS (SELECT user_id, value < 20 AS bad, epoch_us(ts) / 1e6 AS sec, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events WHERE value IS NOT NULL),
+  s AS (SELECT user_id, r, bad::INT AS fails, NULL::DOUBLE AS opened, true AS sent FROM e WHERE r = 1
+        UNION ALL SELECT e.user_id, e.r, CASE WHEN s.opened IS NOT NULL AND e.sec < s.opened + 86400 THEN s.fails WHEN e.bad THEN s.fails + 1 ELSE 0 END,
+          CASE WHEN s.opened IS NOT NULL AND e.sec < s.opened + 86400 THEN s.opened WHEN e.bad AND s.fails + 1 >= 2 THEN e.sec END, NOT (s.opened IS NOT NULL AND e.sec < s.opened + 86400) FROM s JOIN e ON e.user_id = s.user_id AND e.r = s.r + 1)
+  SELECT user_id, count(*) FILTER (WHERE sent) AS sent, count(*) FILTER (WHERE NOT sent) AS refused FROM s GROUP BY user_id""")
+def R8_circuit_breaker(spark, d):
+    """Two failures on end open a key's breaker for a day; the first call after that decides whether it closes."""
+    from loomwork.streaming import circuit_breaker
+
+    e = table(spark, d, "events").filter("value is not null").withColumn("bad", F.col("value") < 20)
+    out = circuit_breaker(e, "user_id", "event_id", "ts", "bad", 2, 86400.0)
+    return out.groupBy(F.col("key").cast("bigint").alias("user_id")).agg(F.count_if("sent").alias("sent"), F.count_if(~F.col("sent")).alias("refused"))

@@ -100,3 +100,50 @@ def running_totals(batch: DataFrame, totals: DataFrame | None, by: list[str], va
     if totals is None:
         return new
     return totals.unionByName(new).groupBy(*by).agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.min("low").alias("low"), F.max("high").alias("high"))
+
+
+BREAKER = "key string, event_id bigint, sent boolean, state string"
+
+
+def call(fails: int, opened: float | None, now: float, bad: bool, limit: int, pause: float) -> tuple[bool, int, float | None]:
+    """One call against a breaker: whether it is sent, the failures on end and since when the breaker is open."""
+    if opened is not None and now < opened + pause:
+        return False, fails, opened
+    fails = fails + 1 if bad else 0
+    return True, fails, now if fails >= limit else None
+
+
+def circuit_breaker(df: DataFrame, key: str, event_id: str, ts: str, failed: str, limit: int, pause: float) -> DataFrame:
+    """Which calls of a key its breaker sends: closed until ``limit`` failures on end, open for ``pause`` seconds, then half open for one call.
+
+    A call that is sent says in ``failed`` how it went. A stream keeps (failures, time of opening) per key; a batch
+    streams each key in time order. Calls without a key or time are left out; a null in ``failed`` is a success.
+    """
+    source = df.select(F.col(key).cast("string").alias("key"), F.col(event_id).cast("bigint").alias("event_id"), F.unix_micros(F.col(ts).cast("timestamp")).alias("us"), F.coalesce(F.col(failed), F.lit(False)).alias("bad")).filter("key is not null and us is not null")
+
+    def replay(rows: pd.DataFrame, fails: int, opened: float | None) -> tuple[pd.DataFrame, int, float | None]:
+        out = []
+        for r in rows.sort_values(["us", "event_id"]).itertuples():
+            sent, fails, opened = call(fails, opened, r.us / 1e6, bool(r.bad), limit, pause)
+            out.append((r.key, r.event_id, sent, "closed" if opened is None else "open"))
+        return pd.DataFrame(out, columns=["key", "event_id", "sent", "state"]), fails, opened
+
+    if df.isStreaming:
+        def step(_: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+            fails, opened = state.get if state.exists else (0, None)
+            rows, fails, opened = replay(pd.concat(list(parts)), fails, opened)
+            state.update((fails, opened))
+            yield rows
+
+        return source.groupBy("key").applyInPandasWithState(step, BREAKER, "fails int, opened double", "append", GroupStateTimeout.NoTimeout)
+
+    def whole(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, fails, opened = None, 0, None
+        for pdf in parts:
+            for name, rows in pdf.groupby("key", sort=False):
+                if name != at:
+                    at, fails, opened = name, 0, None
+                out, fails, opened = replay(rows, fails, opened)
+                yield out
+
+    return source.repartition("key").sortWithinPartitions("key", "us", "event_id").mapInPandas(whole, BREAKER)
