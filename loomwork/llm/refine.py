@@ -101,8 +101,11 @@ def records(tables: dict[str, DataFrame]) -> DataFrame:
     """(src_table, rec_id, n_copies, every other column): the record of least id of each group of copies, over all tables."""
     parts = []
     for name, df in tables.items():
-        row_id = FIELDS[name][0]
-        keyed = df.withColumn(row_id, F.col(row_id).cast("bigint"))
-        whole = keyed.join(counted(keyed, name), row_id).dropDuplicates([row_id])
+        row_id, texts, addresses, objects = FIELDS[name]
+        keyed = df.withColumn(row_id, F.col(row_id).cast("bigint")).filter(F.col(row_id).isNotNull())
+        found = refine(df.select(row_id, *texts, *addresses, *objects), row_id, texts, addresses, objects)
+        # Only rows with copies are on the right side; a row that is not there is a record of its own.
+        whole = keyed.join(found.select(F.col("row_id").alias(row_id), F.col("first_id").alias("_least"), "n_copies"), row_id, "left").filter(F.col("_least").isNull() | (F.col("_least") == F.col(row_id)))
+        whole = whole.withColumn("n_copies", F.coalesce("n_copies", F.lit(1).cast("bigint"))).dropDuplicates([row_id])
         parts.append(whole.select(F.lit(name).alias("src_table"), F.col(row_id).alias("rec_id"), "n_copies", *[c for c in df.columns if c != row_id]))
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
