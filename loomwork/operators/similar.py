@@ -1,12 +1,17 @@
-"""Rows of similar texts: an exact set-similarity join by prefixes, weighted field similarity, groups.
-
-Texts with equal word sets are one class; only class representatives are compared. Words are ordered from rare to usual
-over all classes; two sets of Jaccard similarity t or more share a word among their first n - ceil(t * n) + 1, so each
-class is looked up by those words only, and a shared word is a rare one. Candidates with sizes too far apart leave
-before their sets are fetched; the rest are verified on whole sets. No pair below the threshold's reach is formed and
-none above it is lost. Null texts and texts without words are like nothing.
+"""Rows of similar texts: an exact set-similarity join by shared subsets, weighted field similarity, groups.
+
+Texts with equal word sets are one class; only class representatives are compared. Two sets of n and m words have Jaccard
+similarity t or more just when they share k = ceil(t * (n + m) / (1 + t)) words, so each class of a short text is looked up
+by all its subsets of the sizes k that its partners ask for: what meets is like, and the work grows with the rows however
+few words there are. A text with more than ``MOST`` such subsets has too many of them. Where one of two texts is that
+long, words are ordered from rare to usual; two sets share a word among their first n - ceil(t * n) + 1, so they are
+looked up by those words only. All candidates are verified on whole sets. No pair above the threshold is lost. Null texts
+and texts without words are like nothing.
 """
 
+import itertools
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +19,20 @@ from loomwork.functions import text as T
 from loomwork.plans.lineage import cut
 
 SALTS = 16
+#: Subsets of one text at most, and words of a text whose subsets are looked at.
+MOST, LONGEST = 128, 64
+
+
+def _subsets(t: float) -> list[tuple[int, int, list[int]]]:
+    """(n, k, places left out): the subsets by which sets of n words are looked up, for every n up to the first that has more than ``MOST``."""
+    out: list[tuple[int, int, list[int]]] = []
+    for n in range(1, LONGEST + 1):
+        partners = range(math.ceil(t * n - 1e-6), min(math.floor(n / t + 1e-6), LONGEST) + 1)
+        shared = {k for m in partners if (k := math.ceil(t * (n + m) / (1 + t) - 1e-6)) <= min(n, m)}
+        if sum(math.comb(n, k) for k in shared) > MOST:
+            break
+        out += [(n, k, list(gone)) for k in sorted(shared) for gone in itertools.combinations(range(n), n - k)]
+    return out
 
 
 class WordSets:
@@ -23,16 +42,35 @@ class WordSets:
         if not 0 < threshold <= 1:
             raise ValueError("the threshold must lie in (0, 1]")
         self.threshold = threshold
-        rows = df.select(F.col(row_id).alias("row_id"), F.array_sort(F.array_distinct(T.words(text))).alias("words")).filter("row_id is not null and size(words) > 0").distinct()
-        rows = rows.select("row_id", "words", F.sha2(F.array_join("words", " "), 256).alias("class"))
+        # Words hold no blanks, so that one string stands for a set.
+        rows = df.select(F.col(row_id).alias("row_id"), F.array_join(F.array_sort(F.array_distinct(T.words(text))), " ").alias("words")).filter("row_id is not null and words <> ''")
+        self.sets = cut(rows.groupBy("words").agg(F.min("row_id").alias("rep")).select("rep", "words"))
         #: (row_id, rep): every row with the least row of the same word set.
-        self.members = rows.join(rows.groupBy("class").agg(F.min("row_id").alias("rep")), "class").select("row_id", "rep")
-        self.sets = cut(rows.groupBy("class").agg(F.min("row_id").alias("rep"), F.first("words").alias("words")).select("rep", "words"))
-
-    def pairs(self) -> DataFrame:
-        """(rep_a, rep_b, similarity), rep_a < rep_b: classes of Jaccard similarity ``threshold`` or more."""
+        self.members = rows.distinct().join(self.sets, "words").select("row_id", "rep")
+
+    def candidates(self) -> DataFrame:
+        """(rep_a, rep_b), rep_a < rep_b: classes that share as many words as the threshold asks for, or rare words of long texts."""
+        sized = self.sets.select("rep", F.split("words", " ").alias("words")).withColumn("n", F.size("words"))
+        shapes = _subsets(self.threshold)
+        longest = max((n for n, _, _ in shapes), default=0)
+        short = self._sharing(sized.filter(F.col("n") <= longest), shapes) if shapes else None
+        long = self._prefixed(sized.filter(F.col("n") >= math.ceil(self.threshold * (longest + 1) - 1e-6)), longest)
+        return (short.unionByName(long) if short else long).distinct()
+
+    def _sharing(self, sized: DataFrame, shapes: list[tuple[int, int, list[int]]]) -> DataFrame:
+        t = self.threshold
+        hashed = sized.select("rep", "n", F.transform("words", lambda w: F.xxhash64(w)).alias("h")).withColumn("whole", F.aggregate("h", F.lit(0).cast("bigint"), lambda x, h: x.bitwiseXOR(h)))
+        shape = F.broadcast(sized.sparkSession.createDataFrame(shapes, "n int, k int, gone array<int>"))
+        left = F.aggregate("gone", F.col("whole"), lambda x, i: x.bitwiseXOR(F.get("h", i)))
+        keyed = hashed.join(shape, "n").select("rep", F.col("n").cast("tinyint").alias("n"), F.col("k").cast("tinyint").alias("k"), left.alias("subset"))
+        a, b = keyed.alias("a"), keyed.alias("b")
+        asked = F.ceil(F.lit(t) * (F.col("a.n").cast("int") + F.col("b.n")) / F.lit(1 + t) - 1e-6)
+        met = a.join(b, (F.col("a.subset") == F.col("b.subset")) & (F.col("a.k") == F.col("b.k")) & (F.col("a.rep") < F.col("b.rep")) & (F.col("a.k") == asked))
+        return met.select(F.col("a.rep").alias("rep_a"), F.col("b.rep").alias("rep_b"))
+
+    def _prefixed(self, sized: DataFrame, longest: int) -> DataFrame:
         t = self.threshold
-        words = self.sets.select("rep", F.size("words").alias("n"), F.explode("words").alias("w"))
+        words = sized.select("rep", "n", F.explode("words").alias("w"))
         usual = words.groupBy("w").agg(F.count("*").alias("f"))
         salted = words.withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(SALTS)).cast("int"))
         ranked = salted.join(usual.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["w", "salt"])
@@ -40,11 +78,15 @@ class WordSets:
         prefix = ranked.withColumn("rank", rank).filter(F.col("rank") <= F.col("n") - F.ceil(F.lit(t) * F.col("n") - 1e-9) + 1).select("rep", "n", "w", "salt")
         a = prefix.select(F.col("rep").alias("rep_a"), F.col("n").alias("na"), "w", "salt")
         b = prefix.drop("salt").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).select(F.col("rep").alias("rep_b"), F.col("n").alias("nb"), "w", "salt")
-        near = a.join(b, ["w", "salt"]).filter((F.col("rep_a") < F.col("rep_b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * t - 1e-9)).select("rep_a", "rep_b").distinct()
-        left, right = (self.sets.select(F.col("rep").alias(f"rep_{s}"), F.col("words").alias(f"w{s}")) for s in "ab")
-        both = near.join(left, "rep_a").join(right, "rep_b")
+        long = F.greatest("na", "nb")
+        return a.join(b, ["w", "salt"]).filter((F.col("rep_a") < F.col("rep_b")) & (long > longest) & (F.least("na", "nb") >= long * t - 1e-9)).select("rep_a", "rep_b")
+
+    def pairs(self) -> DataFrame:
+        """(rep_a, rep_b, similarity), rep_a < rep_b: classes of Jaccard similarity ``threshold`` or more."""
+        left, right = (self.sets.select(F.col("rep").alias(f"rep_{s}"), F.split("words", " ").alias(f"w{s}")) for s in "ab")
+        both = self.candidates().join(left, "rep_a").join(right, "rep_b")
         shared = F.size(F.array_intersect("wa", "wb"))
-        return both.select("rep_a", "rep_b", (shared / (F.size("wa") + F.size("wb") - shared)).alias("similarity")).filter(F.col("similarity") >= t - 1e-9)
+        return both.select("rep_a", "rep_b", (shared / (F.size("wa") + F.size("wb") - shared)).alias("similarity")).filter(F.col("similarity") >= self.threshold - 1e-9)
 
     def groups(self) -> DataFrame:
         """(row_id, class_id, group_id, n_links): the row's class, the least class it is linked to in any number of steps, and the number of classes like its own."""

@@ -93,3 +93,12 @@ def test_identifier_kinds(spark, text, kind):
 def test_address_parts(spark):
     got = spark.createDataFrame([("12 Oak Rd, Dale, tx 75001",), ("nowhere",), (None,)], "t string").select(parties.address_parts(F.col("t")).alias("x")).select("x.*").collect()
     assert [tuple(r) for r in got] == [("12 Oak Rd", "Dale", "TX", "75001"), (None,) * 4, (None,) * 4]
+
+
+def test_candidates_do_not_grow_with_rows_a_word(spark):
+    # 4,000 titles over 60 words: each word is a rare one of hundreds of titles.
+    r = random.Random(3)
+    words = [f"w{k}" for k in range(60)]
+    df = spark.createDataFrame([(i, " ".join(r.sample(words, 7))) for i in range(4000)] + [(9000, "a b c d e f g"), (9001, "a b c d e f g h")], "i bigint, t string")
+    one = similar.WordSets(df, "i", F.col("t"), 0.8)
+    assert one.candidates().count() == one.pairs().count() >= 1
