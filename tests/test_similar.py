@@ -102,3 +102,15 @@ def test_candidates_do_not_grow_with_rows_a_word(spark):
     df = spark.createDataFrame([(i, " ".join(r.sample(words, 7))) for i in range(4000)] + [(9000, "a b c d e f g"), (9001, "a b c d e f g h")], "i bigint, t string")
     one = similar.WordSets(df, "i", F.col("t"), 0.8)
     assert one.candidates().count() == one.pairs().count() >= 1
+
+
+@pytest.mark.parametrize("threshold", [1.0, 0.9, 0.8, 0.75, 0.5, 0.2])
+def test_pairs_of_short_and_long_texts_against_brute_force(spark, threshold):
+    r = random.Random(7)
+    words = [f"w{k}" for k in range(40)]
+    sets = {frozenset(r.sample(words, n)) for n in range(1, 31) for _ in range(3)}
+    sets |= {frozenset([*s][: r.randrange(1, len(s) + 1)] + r.sample(words, r.randrange(3))) for s in [*sets] for _ in range(3)}
+    own = dict(enumerate(sorted(sets, key=sorted)))
+    df = spark.createDataFrame([(i, " ".join(s)) for i, s in own.items()], "i bigint, t string")
+    want = {(a, b) for a, x in own.items() for b, y in own.items() if a < b and len(x & y) / len(x | y) >= threshold - 1e-9}
+    assert {(p.rep_a, p.rep_b) for p in similar.WordSets(df, "i", F.col("t"), threshold).pairs().collect()} == want
