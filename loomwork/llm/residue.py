@@ -7,7 +7,9 @@ slot that still holds a variable name, a default or a blank was never filled in:
   object of a word of notation (writes, printed, the variable ...), is given a value (set ... to) or is called a name.
   Such a sentence is pending: its frame (names, numbers and marks as wildcards) is aligned with the frames of all other
   sentences, and it is residue after all if some record fills or leaves out the slot.
-* Slots filled with defaults or blanks (null, undefined, [object Object]) are found on whole records.
+* A sentence with a default (null, undefined, NaN, None) or a blank before a comma or full stop where a word may have
+  been is pending as well, in titles too: it is residue if two other sentences of its frame fill that place in two ways
+  (with a name or a number; other words would make prose of "a null result" a case). "[object Object]" is a mark.
 * A line is a message if it is made of the words of error, blocking and script notices and says that something failed;
   a record is one if all its lines are, whatever their number, or if one line of a longer record is a whole notice
   (``is_notice``). A short page that says of a failure in words of its own is pending: its page template is aligned
@@ -36,7 +38,7 @@ LEAST_HOSTS = 3
 NAME = r"[A-Za-z_][A-Za-z0-9_.]*|[A-Z][A-Z]+(?: [A-Z]+)+|[Ii][Nn][Ss][Ee][Rr][Tt] [A-Za-z ]{1,30} [Hh][Ee][Rr][Ee]"
 MARK = re.compile(
     rf"\{{\{{ ?(?:{NAME}) ?\}}\}}|\{{% ?(?:{NAME}) ?%\}}|<%=? ?(?:{NAME}) ?%>|<<(?:{NAME})>>|%\((?:{NAME})\)[sS]|%%(?:{NAME})%%|@@(?:{NAME})@@|\[\[(?:{NAME})\]\]"
-    rf"|\$\{{(?:{NAME})\}}|\$(?:{NAME})\$|\{{(?:{NAME})\}}|\[(?:{NAME})\]",
+    rf"|\$\{{(?:{NAME})\}}|\$(?:{NAME})\$|\{{(?:{NAME})\}}|\[(?:{NAME})\]|\[object Object\]",
 )
 MARK_HINT = re.compile(r"\{[{%A-Za-z_ ]|<%|<<|%\(|%%|@@|\[[\[A-Za-z_]|\$[A-Za-z_{]")
 #: What shows a sentence to be about its mark (written as \0 here), fixed values.
@@ -46,6 +48,10 @@ ABOUT = re.compile(
     r"|\b(?:set|export|unset|define) (?:the )?\0(?: to\b| ?=)|\0 as (?:a|an|the|its|their) (?:name|symbol|spelling)\b",
     re.I,
 )
+#: Places that hold a default or a blank, and what comes before a sentence that may begin with one (\0).
+EMPTY_SIGNS = ("null", "NULL", "Null", "undefined", "NaN", "nan", "None", " ,", " .", "\t,", "\t.", "\u00a0,", "\u00a0.")
+EMPTY = re.compile(r"(?<![\w\"“'`.\-/])(?:null|NULL|Null|undefined|NaN|nan|None(?! of\b))(?![\w\"”'`\-/=(\[])|(?<=\w) (?=[,.](?:\s|$))")
+EMPTY_END = re.compile(r"[.!?][\"”)]*\s+(?=[\"“(\[]?(?:[^\W\d_a-zà-ÿ]|\0))")
 QUOTED = re.compile(r"(?:^|[\s(\[])[\"“][^\"“”]*$")
 SENTENCE_END = re.compile(r"[.!?][\"”)]*\s+(?=[\"“(\[]?[^\W\d_a-zà-ÿ])")
 
@@ -197,6 +203,23 @@ def frame(sentence: str) -> str:
     return re.sub(r"\s+", " ", re.sub(r"[^\W\d_a-zà-ÿ]\w*|\d+", "N", sentence.replace("\0", " "))).strip(" .!?")
 
 
+def unfilled(text: str) -> Iterator[str]:
+    """The frames of sentences with a default or a blank in place of a word, that place as a wildcard."""
+    for line in text.split("\n"):
+        if not any(x in line for x in EMPTY_SIGNS):
+            continue
+        line = re.sub(r"[ \t\u00a0]+", " ", line.replace("\0", " "))
+        flat = EMPTY.sub(lambda m: " \0" if m.group() == " " else "\0", line)
+        ends = [0, *(m.end() for m in EMPTY_END.finditer(flat)), len(flat)]
+        for begin, end in itertools.pairwise(ends):
+            sentence = flat[begin:end].strip()
+            if "\0" not in sentence or ABOUT.search(sentence) or any(QUOTED.search(sentence[: m.start()]) for m in re.finditer("\0", sentence)):
+                continue
+            own = frame(sentence.replace("\0", "N"))
+            if sum(w[0].islower() for w in own.split(" ") if w) >= 2:
+                yield own
+
+
 def page_template(text: str) -> str | None:
     """The template of a short page that speaks of a failure, else None. Names and numbers are wildcards."""
     lines = [x for x in text.split("\n") if x.strip()]
@@ -205,9 +228,11 @@ def page_template(text: str) -> str | None:
     return re.sub(r"\s+", " ", re.sub(r"\d+", "9", text.lower())).strip()
 
 
-def pending(text: str | None) -> Iterator[tuple[str, str]]:
+def pending(text: str | None, title: bool = False) -> Iterator[tuple[str, str]]:
     """(what, evidence that other records may have) of a text that is no residue by itself."""
-    if text:
+    if text and any(x in text for x in EMPTY_SIGNS):
+        yield from (("default?", x) for x in {*unfilled(text)})
+    if text and not title:
         if MARK_HINT.search(text):
             for sentence, about in marked(text):
                 if about:
@@ -245,18 +270,19 @@ def _rows(df: DataFrame, title: bool) -> DataFrame:
                 reason = next(judge_title(t, host or ""), None) if title else judge(t)
                 if reason:
                     out.append((i, reason, None))
-                elif not title:
-                    out.extend((i, what, f"{host or i}\t{x}" if what == "page?" else x) for what, x in pending(t))
+                else:
+                    out.extend((i, what, f"{host or i}\t{x}" if what == "page?" else x) for what, x in pending(t, title))
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.string()), pa.array([x[2] for x in out], pa.string())], names=["rec_id", "reason", "pending"])
 
     return df.mapInArrow(run, SCHEMA)
 
 
 def _frames(texts: DataFrame) -> DataFrame:
-    """(pending): the frames of the sentences without marks; what ``frame`` does, by built-in functions."""
+    """(pending, own): the frames of the sentences without marks, what ``frame`` does by built-in functions, and what tells the sentences of one frame apart, null where a default stands."""
     lines = texts.select(F.explode(F.split(F.regexp_replace("text", r"[ \t\x{a0}]+", " "), r"\n|(?<=[.!?])[\"”)]* +(?=[\"“(\[]?[\p{Lu}\d])")).alias("s")).filter("length(s) > 12")
     masked = F.regexp_replace(F.regexp_replace("s", r"(?<![\p{L}\p{N}_])\p{Lu}[\p{L}\p{N}_]*|\d+", "N"), r"\s+", " ")
-    return lines.select(F.regexp_replace(masked, r"^[ .!?]+|[ .!?]+$", "").alias("pending"))
+    defaults = F.col("s").contains("N") & F.col("s").rlike(r"\b(?:NULL|Null|NaN|None)\b")
+    return lines.select(F.btrim(masked, F.lit(" .!?")).alias("pending"), F.when(~defaults, F.xxhash64(F.btrim("s", F.lit(" .!?")))).alias("own"))
 
 
 def residue(pages: dict[str, DataFrame]) -> DataFrame:
@@ -264,11 +290,11 @@ def residue(pages: dict[str, DataFrame]) -> DataFrame:
     pages = {name: df.filter("rec_id is not null and text is not null") for name, df in pages.items()}
     rows = cut(reduce(DataFrame.unionByName, [_rows(df.select("rec_id", "text", "host"), name == "page_data").withColumn("src_table", F.lit(name)) for name, df in pages.items()]))
     sure = rows.filter("pending is null").select("src_table", "rec_id", "reason")
-    about = rows.filter("reason = 'slot?'")
-    wanted = about.select("pending").distinct()
-    texts = reduce(DataFrame.unionByName, [df.select("text") for name, df in pages.items() if name != "page_data"])
-    filled = _frames(texts).join(wanted, "pending", "left_semi").distinct()
-    slots = about.join(filled, "pending", "left_semi").select("src_table", "rec_id", F.lit("slot").alias("reason"))
+    asked = rows.filter("reason in ('slot?', 'default?')")
+    wanted = asked.select("pending").distinct()
+    texts = reduce(DataFrame.unionByName, [df.select("text") for df in pages.values()])
+    filled = _frames(texts).join(wanted, "pending", "left_semi").groupBy("pending").agg((F.min("own") < F.max("own")).alias("varies"))
+    slots = asked.join(filled, "pending").filter("reason = 'slot?' or varies").select("src_table", "rec_id", F.rtrim("reason", F.lit("?")).alias("reason"))
     short = rows.filter("reason = 'page?'").select("src_table", "rec_id", F.substring_index("pending", "\t", 1).alias("host"), F.expr("substring(pending, instr(pending, '\t') + 1)").alias("page"))
     templates = short.groupBy("page", "host").agg(F.lit(1).alias("one")).groupBy("page").agg(F.count("*").alias("n")).filter(F.col("n") >= LEAST_HOSTS).select("page")
     repeated = short.join(templates, "page", "left_semi").select("src_table", "rec_id", F.lit("message").alias("reason"))

@@ -321,6 +321,18 @@ def test_residue_aligns_records_of_one_template(spark):
     assert {r.rec_id for r in residue.residue({"t": df}).collect()} == {0}
 
 
+def test_residue_aligns_defaults_and_blanks(spark):
+    """A slot of a template that holds a default or a blank was never filled, if aligned records fill it in two ways."""
+    lines = [
+        "Welcome home. Dear Ann, your order 12 has shipped to Dale.", "Dear Bob, your order 7 has shipped to Huwick.", "Dear null, your order undefined has shipped to Dale.", "Dear , your order 9 has shipped to Dale.", "Dear Cid, your order 8 has shipped to . More soon.",
+        "A null result was found by Ann.", "The good result was found by Bob.", "The function prints null for the order of Dale.", "We met the agent None in the town.", "We met the agent Flo in the town.", "None of the rooms was warm.", "The clerk met [object Object] on the stair.", "The log prints [object Object] when it ends.",
+    ]
+    df = spark.createDataFrame([(i, x, "h") for i, x in enumerate(lines)], "rec_id bigint, text string, host string")
+    assert {r.rec_id: r.reason for r in residue.residue({"t": df}).collect()} == {2: "default", 3: "default", 4: "default", 11: "slot"}
+    titles = spark.createDataFrame([(1, "Homes for sale in null, 3 rooms", "h"), (2, "Homes for sale in Dale, 4 rooms", "h"), (3, "Homes for sale in Huwick, 3 rooms", "h")], df.schema)
+    assert {r.rec_id for r in residue.residue({"page_data": titles}).collect()} == {1}
+
+
 def test_residue_learns_error_templates_from_repetition(spark):
     odd = "Whoopsie 17, the gremlins broke this corner and our crew is sorry"
     pages = [(i, odd.replace("17", str(i)), f"host{i}.example") for i in range(4)] + [(10 + i, "Whoopsie, the lamp broke and Ann is sorry", "one.example") for i in range(4)] + [(20, prose(40), "host1.example")]
