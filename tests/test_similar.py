@@ -1,6 +1,7 @@
 """Similar rows, groups, rules, ranks and name parts."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -114,3 +115,28 @@ def test_pairs_of_short_and_long_texts_against_brute_force(spark, threshold):
     df = spark.createDataFrame([(i, " ".join(s)) for i, s in own.items()], "i bigint, t string")
     want = {(a, b) for a, x in own.items() for b, y in own.items() if a < b and len(x & y) / len(x | y) >= threshold - 1e-9}
     assert {(p.rep_a, p.rep_b) for p in similar.WordSets(df, "i", F.col("t"), threshold).pairs().collect()} == want
+
+
+def test_subsets_that_no_whole_set_meets_are_not_sent(spark):
+    # Each of 3,000 titles has eight keys; only its whole set and what meets another is sent.
+    r = random.Random(11)
+    words = [f"w{k}" for k in range(300)]
+    df = spark.createDataFrame([(i, " ".join(r.sample(words, 7))) for i in range(3000)] + [(9000, "a b c d e f g"), (9001, "a b c d e f g h")], "i bigint, t string")
+    one = similar.WordSets(df, "i", F.col("t"), 0.8)
+    assert 3000 < one._keys(one._sized(), similar._subsets(0.8)).count() < 2 * 3000
+    assert [tuple(p) for p in one.pairs().collect()] == [(9000, 9001, 7 / 8)]
+
+
+@pytest.mark.parametrize("few", [0, 5, 1 << 20])
+def test_pairs_are_the_same_whether_classes_are_few_or_many(spark, monkeypatch, few):
+    monkeypatch.setattr(similar, "FEW", few)
+    texts = ["a b c d e", "a b c d e f", "E d c b a", "x y", "y X", "p q r s t u v w", "p q r s t u v w z", None, ""]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(0, "p q r s t u v w k"), (None, "x y")]
+    got = similar.WordSets(spark.createDataFrame(rows, "i bigint, t string"), "i", F.col("t"), 0.8).pairs().collect()
+    assert sorted((p.rep_a, p.rep_b, round(p.similarity, 6)) for p in got) == [(0, 1, 0.833333), (0, 5, 0.888889), (0, 6, 0.8), (5, 6, 0.888889)]
+
+
+def test_all_uses_of_the_classes_share_one_shuffle(spark):
+    df = spark.createDataFrame([(1, "a b c")], "i bigint, t string")
+    plan = similar.WordSets(df, "i", F.col("t"), 0.8).candidates()._jdf.queryExecution().optimizedPlan().toString()
+    assert len({re.sub(r"#\d+L?", "", x.lstrip(" :+-")) for x in plan.splitlines() if "Filter" in x and "array_join" in x}) == 1
