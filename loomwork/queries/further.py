@@ -9,6 +9,7 @@ from loomwork.functions import parties as P
 from loomwork.functions import text as T
 from loomwork.operators import dedup, similar, units
 from loomwork.operators.rules import RuleSet
+from loomwork.plans.lineage import cut
 from loomwork.queries.data import _P1
 from loomwork.sources import table
 
@@ -70,8 +71,9 @@ _WEIGHTS = [("title", 0.5), ("snippet", 0.3), ("query_text", 0.2)]
 def J2_weighted_pairs(spark, d):
     """Class pairs of like titles with their similarity over several fields."""
     hits = table(spark, d, "search_results", "hit_id", *[f for f, _ in _WEIGHTS])
+    pairs = cut(_titles(spark, d).pairs().select("rep_a", "rep_b"))
+    hits = similar.narrowed(hits, "hit_id", similar.ends(pairs))
     a, b = (hits.select(*[F.col(c).alias(f"{c}_{s}") for c in hits.columns]) for s in "ab")
-    pairs = _titles(spark, d).pairs().select("rep_a", "rep_b")
     both = pairs.join(a, F.col("rep_a") == F.col("hit_id_a")).join(b, F.col("rep_b") == F.col("hit_id_b"))
     s = similar.weighted({f: (w, F.col(f"{f}_a"), F.col(f"{f}_b")) for f, w in _WEIGHTS})
     return both.select("rep_a", "rep_b", s.alias("s")).select("rep_a", "rep_b", F.round("s", 6).alias("similarity"), similar.label(F.col("s")).alias("label"))

@@ -140,3 +140,12 @@ def test_all_uses_of_the_classes_share_one_shuffle(spark):
     df = spark.createDataFrame([(1, "a b c")], "i bigint, t string")
     plan = similar.WordSets(df, "i", F.col("t"), 0.8).candidates()._jdf.queryExecution().optimizedPlan().toString()
     assert len({re.sub(r"#\d+L?", "", x.lstrip(" :+-")) for x in plan.splitlines() if "Filter" in x and "array_join" in x}) == 1
+
+
+def test_narrowed_keeps_all_rows_of_the_ids_without_moving_them(spark, monkeypatch):
+    df = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (None, "d")], "i bigint, t string")
+    ids = spark.createDataFrame([(1,), (7,)], "rep bigint")
+    one = similar.narrowed(df, "i", ids)
+    assert sorted(r.t for r in one.collect()) == ["a", "b"] and "Exchange hashpartitioning" not in one._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(similar, "FEW", 1)
+    assert similar.narrowed(df, "i", ids).count() == 4
