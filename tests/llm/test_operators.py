@@ -7,6 +7,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from loomwork.llm import boilerplate, leakage, lines, mixing, products, refine, residue, spans
 
@@ -66,6 +67,36 @@ def test_lines(spark):
     assert lines.standing_lines(df.limit(0)).count() == 0
 
 
+def test_tree_is_opened_level_by_level(spark):
+    # Six pages share a leaf; others agree with it in length only, or in length and leading token only.
+    texts = [f"abcdef {w} uvwxyz" for w in ("one", "one", "one", "one", "one", "one")] + ["abcdef two nopqrs", "abcdef six hijklm", "ghijkl one uvwxyz", "short"]
+    df = spark.createDataFrame([(i, "http://a.example/", t) for i, t in enumerate(texts)] + [(99, "http://b.example/", texts[0])], "page_id bigint, url string, main_content string")
+    trees = lines.tree_lines(df, "page_id", "url", "main_content").groupBy("path", "leaf", "salt").agg(F.count("*").alias("n"))
+    kept = [x.agg(F.sum("n")).first()[0] for x in lines.levels(trees, 6)]
+    assert kept == [9, 8, 6, 6]
+    found = lines.standing_lines(df)
+    assert sorted(map(tuple, found.collect())) == [(i, 1) for i in range(6)]
+    # Both uses of the lines read one shuffle.
+    assert "ReusedExchange" in found._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("least", [1, 2, 6])
+def test_standing_lines_against_brute_force(spark, least):
+    r = random.Random(least)
+    pages = [(i, f"http://{r.choice('abc')}.example/{i}", "\n".join(r.choice(["Menu", "menu 2", "me nu", "Imprint", "About us", "abcdef g uvwxyz", "abcdef h uvwxyz", "", " ", f"own {chr(97 + i % 26)}{i}"]) for _ in range(r.randrange(8)))) for i in range(80)]
+    seen = defaultdict(set)
+    where = []
+    for i, url, text in pages:
+        for k, line in enumerate(text.split("\n"), 1):
+            if line.strip():
+                key = (url.split("/")[2], re.sub(r"[\s\d]", "", line).lower())
+                seen[key].add(i)
+                where.append((i, k, key))
+    want = sorted((i, k) for i, k, key in where if len(seen[key]) >= least)
+    df = spark.createDataFrame(pages, "page_id bigint, url string, main_content string")
+    assert sorted(map(tuple, lines.standing_lines(df, least_pages=least).collect())) == want
+
+
 # ---- leakage ---------------------------------------------------------------------------------------------------
 
 def test_leakage_against_brute_force(spark):
